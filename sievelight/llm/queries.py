@@ -50,3 +50,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm.decontaminate import scan_benchmark
 
     return scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query()
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3, repeating; blocks of 32 words, three epochs at most."""
+    from sievelight.llm.mixing import mix_counts
+    from sievelight.llm.scratch import Scratch
+
+    return mix_counts(table(spark, sf_dir, "documents"), scratch=Scratch(spark, "op10")).select("doc_id", "size", "source_size", "target", "taken")
