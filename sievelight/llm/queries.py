@@ -100,3 +100,11 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm.warc import dedup_archives
 
     return dedup_archives(table(spark, sf_dir, "pages"), least=0)
+
+
+@query()
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as lossless WebP images, read back and digested."""
+    from sievelight.llm.media import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
