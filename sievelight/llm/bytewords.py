@@ -80,8 +80,8 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def split_words(data: np.ndarray, ends: np.ndarray, kind: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
-    """Words (maximal runs of bytes of a kind) of texts that lie end to end; no word crosses texts."""
+def split_words(data: np.ndarray, ends: np.ndarray, kind: np.ndarray, lower: bool = True, hashed: bool = True, heads: tuple[int, ...] = ()) -> Words | tuple[Words, ...]:
+    """Words (maximal runs of bytes of a kind) of texts that lie end to end; no word crosses texts. ``heads``: also hash words cut to so many bytes."""
     n = len(data)
     inside = np.zeros(n + 2, np.int8)
     inside[1:-1] = kind[data]
@@ -103,7 +103,11 @@ def split_words(data: np.ndarray, ends: np.ndarray, kind: np.ndarray, lower: boo
     np.multiply((BYTE_CODE[LOWER] if lower else BYTE_CODE)[data], up[:n], out=total[1:])
     np.cumsum(total, out=total)
     value = (total[end] - total[start]) * down[start]
-    return Words(start, end, first, mix(value + (end - start).astype(np.uint64)))
+    words = Words(start, end, first, mix(value + (end - start).astype(np.uint64)))
+    if not heads:
+        return words
+    cut = [np.minimum(end, start + n) for n in heads]
+    return (words, *[Words(start, c, first, mix((total[c] - total[start]) * down[start] + np.uint64(1_000_003 * n))) for n, c in zip(heads, cut, strict=True)])
 
 
 def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -108,3 +108,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm.media import media_digests
 
     return media_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of all documents, by a model of the rated ones."""
+    from sievelight.llm.quality import score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
