@@ -117,3 +117,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked from a Jaccard similarity of 0.8 on shingles of two words, and their components."""
+    from sievelight.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
