@@ -125,3 +125,29 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm.setsketch import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, s, md5(array_to_string(list_slice(lines, s, s + 2), chr(10))) AS k FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS s FROM d WHERE len(lines) >= 3)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS p FROM later),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE fresh) AS n_runs
+         FROM (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 2) > 1 AS fresh FROM gone) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept
+         FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+       sha256(CASE WHEN text IS NULL THEN '' ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(OP9_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines or more that occur earlier, deleted from all documents."""
+    from pyspark.sql import functions as F
+
+    from sievelight.llm.linededup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"), min_lines=3)
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

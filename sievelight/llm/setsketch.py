@@ -200,7 +200,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, scratc
     links, tested = None, None
     for turn in range(MAX_HUB_ROUNDS + 1):
         mixed = members.join(labels, "cls")
+        # written, so that the joins with it have plain shuffles on both sides and a hot bucket is split
         spread = mixed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "label")).alias("hub"), F.count("*").alias("n")).where("least <> most")
+        spread = scratch.save(spread, "spread")
         last = turn == MAX_HUB_ROUNDS
         if turn and not last:
             # after the first hubs: go on with hubs while all remaining pairs would be many more than the members
