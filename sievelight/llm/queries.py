@@ -151,3 +151,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = dedup_lines(table(spark, sf_dir, "documents"), min_lines=3)
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes inside strings of 400 bytes that start anywhere else too, removed from all documents."""
+    from sievelight.llm.suffixes import cut_repeats
+
+    return cut_repeats(table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
