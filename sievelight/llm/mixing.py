@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4_096
-#: Slots of one row of the plan, before it is expanded.
+#: Slots of one row of the plan, before it is expanded, and of one task.
 RUN = 4_096
+TASK_SLOTS = 100_000
 
 
 def source_targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -132,7 +133,7 @@ def _slots(spark: SparkSession, stats: pd.DataFrame, shard_slots: int, seed: int
             step = max(RUN, -(-n // 64))
             runs += [(s, int(i), int(done[i]) + a, min(step, n - a), int(stats["blocks"][i])) for a in range(0, n, step)]
             done[i] += n
-    given = spark.createDataFrame(runs, "shard int, source_no int, first long, count long, blocks long").repartition(max(1, min(2_000, len(runs))))
+    given = spark.createDataFrame(runs, "shard int, source_no int, first long, count long, blocks long").repartition(max(1, min(len(runs), -(-int(quota.sum()) // TASK_SLOTS))))
     given = given.select("shard", "source_no", "blocks", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot"))
 
     def image(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,11 +159,11 @@ def _pieces(sized: DataFrame, block_words: int, *carry: Column | str) -> DataFra
 def mix_counts(docs: DataFrame, *, block_words: int = 32, scratch=None, **options) -> DataFrame:
     """One row per document: size, source_size, target (of its source, in words) and taken (words that the mix takes, repeats counted)."""
     plan = plan_mix(docs, block_words=block_words, scratch=scratch, **options)
-    copies = plan.slots.groupBy("source_no", "block").agg(F.count("*").alias("copies"))
+    copies = plan.slots.groupBy("source_no", "block").agg(F.count("*").alias("copies")).hint("merge")  # expanded from few rows: Spark takes it for small
     taken = _pieces(plan.sized, block_words).join(copies, ["source_no", "block"]).groupBy("source_no", "offset").agg(F.sum(F.col("copies") * F.col("count")).alias("taken"))
     # a document with words is alone at its offset
     at = taken.withColumnsRenamed({"source_no": "s", "offset": "o"})
-    joined = plan.sized.join(at, (F.col("s") == F.col("source_no")) & (F.col("o") == F.col("offset")) & (F.col("size") > 0), "left")
+    joined = plan.sized.join(at.hint("merge"), (F.col("s") == F.col("source_no")) & (F.col("o") == F.col("offset")) & (F.col("size") > 0), "left")
     return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "digest")
 
 
@@ -174,4 +175,4 @@ def mix_blocks(docs: DataFrame, *, block_words: int = 32, **options) -> DataFram
     pieces = _pieces(placed, block_words, "source", "words").withColumn("words", F.slice("words", F.col("first").cast("int") + 1, F.col("count").cast("int")))
     packed = pieces.groupBy("source_no", "source", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "words"))).alias("parts"))
     filled = packed.select("source_no", "source", "block", F.array_join(F.flatten("parts.words"), " ").alias("text"))
-    return plan.slots.join(filled, ["source_no", "block"]).select("shard", "slot", "source", "epoch", "block", "text")
+    return plan.slots.hint("merge").join(filled.hint("merge"), ["source_no", "block"]).select("shard", "slot", "source", "epoch", "block", "text")
