@@ -159,3 +159,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm.suffixes import cut_repeats
 
     return cut_repeats(table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that nearly repeat an earlier one (five-word shingles, 0.8)."""
+    from sievelight.llm.passages import near_passages
+
+    return near_passages(table(spark, sf_dir, "documents"), size=5, words=50, percent=80)
