@@ -27,6 +27,8 @@ BITS = 18
 MAX_RATED = 20_000
 #: Bytes of the word beginnings that are features besides whole words: inflected forms share them.
 HEADS = (4, 5, 6)
+#: Steps of descent that a small sample gets too.
+LEAST_STEPS = 800
 #: Steps of a count or a share of the text's shape.
 STEPS = 16
 
@@ -87,11 +89,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, levels: int = 3, epochs:
     sums_t = np.full(levels - 1, 1e-6)
     rng = np.random.Generator(np.random.PCG64(seed))
     lengths = np.array([len(r) for r in rows])
+    batch = min(256, max(16, len(rows) // 40))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(rows)))
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        step = rate / (1 + 0.2 * epoch)
-        for at in range(0, len(order), 256):
-            own = order[at : at + 256]
+        step = rate / (1 + 3 * epoch / epochs)
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
             code, owner = np.concatenate([rows[i] for i in own]), np.repeat(np.arange(len(own)), lengths[own])
             score = np.bincount(owner, weights[code], minlength=len(own))
             t = np.concatenate([[-np.inf], lowest + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]), [np.inf]])
