@@ -7,8 +7,9 @@ candidate pairs, their similarity is estimated jointly by likelihood, and what i
 below the threshold is confirmed on the full sets.
 
 Equal sets are one class from the start. In a bucket every class is compared with a hub only;
-classes that a component already holds together are not compared again, further hubs follow, and
-at last every pair of classes of one bucket that is still in different components is compared.
+classes that a component already holds together are not compared again, another hub follows, and
+at last every pair of classes of one bucket that is still in different components is compared, by
+registers and in blocks.
 Components spread by labels in tables; nothing of them goes to the driver.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing; with
@@ -34,10 +35,12 @@ REGISTERS = BANDS * ROWS
 #: Base and rate of the registers' scale, and the largest register.
 SCALE, RATE, TOP = 1.02, 20.0, 2_047
 #: A pair whose estimate is this far below the threshold is dropped unread: over five standard errors.
-SLACK = 0.2
+SLACK = 0.13
 #: Candidate classes (of 40 bytes) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
-MAX_HUB_ROUNDS = 6
+#: Rounds of comparing with hubs before all that is left is compared, and classes of one block there.
+HUB_ROUNDS = 2
+BLOCK_ROWS = 512
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -122,7 +125,7 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs that may reach the threshold, by sizes and by likelihood."""
-    side = lambda x: sketches.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")).hint("merge")
+    side = lambda x: sketches.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")).hint("merge")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 found = estimate(*regs, *[part.column(k).to_numpy().astype(float) for k in (3, 5)])
                 yield pa.RecordBatch.from_arrays(list(part.columns[:2]), ["a", "b"]).filter(pa.array(found >= percent / 100 - SLACK))
 
-    return joined.select("a", "b", "regs_a", "n_a", "regs_b", "n_b").mapInArrow(judge, "a binary, b binary")
+    return joined.select("a", "b", "regs_a", "n_a", "regs_b", "n_b").mapInArrow(judge, "a long, b long")
 
 
 def shingle_set(text: str | None, size: int) -> set[tuple[bytes, ...]]:
@@ -145,7 +148,7 @@ def shingle_set(text: str | None, size: int) -> set[tuple[bytes, ...]]:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs that reach the threshold on their full sets."""
-    side = lambda x: texts.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
+    side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +163,78 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(judge, "a binary, b binary")
+    return joined.mapInArrow(judge, "a long, b long")
+
+
+def _block_pairs(mixed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of classes that share a bucket and are in different components, by comparing registers in blocks.
+
+    In each bucket the classes outside its largest component are dealt into blocks, and every class
+    of the bucket passes by each block; a pair is looked at in the first bucket that it shares only.
+    """
+    counts = mixed.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("big"), F.sum("k").alias("n"))
+    sized = counts.select("key", F.col("big.label").alias("big"), F.ceil((F.col("n") - F.col("big.k")) / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = mixed.join(sized, "key")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    left = rows.where("label <> big").select("key", own.alias("block"), F.lit(0).cast("byte").alias("side"), "band", "cid", "label", "big")
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).cast("byte").alias("side"), "band", "cid", "label", "big")
+    sketched = left.unionByName(right).join(known.select("cid", "n_shingles", "regs").hint("merge"), "cid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, block = None, [], None
+        for batch in batches:
+            key, part, side = (batch.column(i).to_numpy() for i in range(3))
+            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1, [len(key)]])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if (key[lo], part[lo]) != group:
+                    group, held, block = (key[lo], part[lo]), [], None
+                if side[lo] == 0:
+                    held.append(batch.slice(lo, hi - lo))
+                    continue
+                if block is None and held:
+                    block = unpack(pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 30)[0])
+                if block is None:
+                    continue
+                for at in range(lo, hi, 64):
+                    found = judge(block, unpack(batch.slice(at, min(64, hi - at))))
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*found)), pa.array(np.maximum(*found))], ["a", "b"])
+
+    def unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
+        regs = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.int16).reshape(-1, REGISTERS)
+        return [*(batch.column(i).to_numpy() for i in (3, 4, 5, 6, 7)), regs]  # band, cid, label, big, n_shingles, regs
+
+    def judge(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ok = (x[2][:, None] != y[2][None, :]) & ((y[2] == y[3])[None, :] | (x[1][:, None] < y[1][None, :]))
+        n_x, n_y = x[4][:, None], y[4][None, :]
+        i, j = np.nonzero(ok & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)))
+        out = []
+        for at in range(0, len(i), 4_096):
+            u, v = i[at : at + 4_096], j[at : at + 4_096]
+            first = (x[5][u] == y[5][v]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            near = first == x[0][0]
+            u, v = u[near], v[near]
+            likely = estimate(x[5][u], y[5][v], x[4][u].astype(float), y[4][v].astype(float)) >= percent / 100 - SLACK if len(u) else np.zeros(0, bool)
+            out.append((x[1][u[likely]], y[1][v[likely]]))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sketched.select("key", "block", "side", "band", "cid", "label", "big", "n_shingles", "regs").repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def spread_labels(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Least label of each component: ``labels`` (cls, label), ``edges`` (a, b), where a label is a struct that holds its class."""
+    """Least label of each component: ``labels`` (cid, label), where a label is the id of a node of the component, and ``edges`` (a, b)."""
     both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     while True:
-        near = both.join(labels.select(F.col("cls").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("cls")).agg(F.min("l").alias("near"))
-        lower = labels.join(near, "cls", "left").select("cls", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = labels.select(F.col("cls").alias("c"), F.col("label").alias("beyond"))
-        lower = lower.join(jump, F.col("next.cls") == F.col("c"), "left").select("cls", F.col("label").alias("old"), F.least("next", F.coalesce("beyond", "next")).alias("label"))
-        done = scratch.save(lower, "labels")
+        # every node takes the least label around it, and what that label's own node has
+        near = both.join(labels.select(F.col("cid").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("cid")).agg(F.min("l").alias("near"))
+        lower = scratch.save(labels.join(near, "cid", "left").select("cid", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), "lower")
+        jump = lower.select(F.col("cid").alias("c"), F.col("label").alias("beyond"))
+        done = scratch.save(lower.join(jump, F.col("label") == F.col("c"), "left").select("cid", "old", F.coalesce("beyond", "label").alias("label")), "labels")
         changed = done.where("label <> old").limit(1).count()
-        labels = done.drop("old")
+        scratch.drop(lower)
+        labels = done.select("cid", "label")
         if not changed:
             return labels
 
@@ -186,51 +247,43 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, scratc
     # a class: documents with equal sets; a null doc_id is never its name if another is there
     classes = scratch.save(filled.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = filled.select("doc_id", "cls", "n_shingles", "regs", "bands").join(classes.withColumnRenamed("cls", "c"), (F.col("c") == F.col("cls")) & F.col("rep").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["cls"])
-    firsts = scratch.save(firsts, "firsts")
-    buckets = firsts.select("cls", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = scratch.save(buckets.join(shared, "key").select("key", "cls"), "members")
-    nodes = members.select("cls").distinct()
-    known = scratch.save(firsts.select("cls", F.col("doc_id").alias("rep"), "n_shingles", "regs").join(nodes, "cls", "left_semi"), "known")
-    wanted = known.select("rep", F.col("cls").alias("want"))
+    firsts = scratch.save(firsts.withColumn("cid", F.monotonically_increasing_id()), "firsts")
+    buckets = firsts.select("cid", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("byte"))
+    shared = scratch.save(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    members = scratch.save(buckets.join(shared, "key"), "members")
+    nodes = members.select("cid").distinct()
+    known = scratch.save(firsts.select("cid", "cls", F.col("doc_id").alias("rep"), "n_shingles", "regs").join(nodes, "cid", "left_semi"), "known")
+    wanted = known.select("rep", F.col("cls").alias("want"), "cid")
     if known.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = scratch.save(_of_class(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))), size), "texts")
-    labels = scratch.save(known.select("cls", F.struct(F.col("rep").isNull().alias("nameless"), "rep", "cls").alias("label")), "labels")
-    links, tested = None, None
-    for turn in range(MAX_HUB_ROUNDS + 1):
-        mixed = members.join(labels, "cls")
-        # written, so that the joins with it have plain shuffles on both sides and a hot bucket is split
-        spread = mixed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "label")).alias("hub"), F.count("*").alias("n")).where("least <> most")
-        spread = scratch.save(spread, "spread")
-        last = turn == MAX_HUB_ROUNDS
-        if turn and not last:
-            # after the first hubs: go on with hubs while all remaining pairs would be many more than the members
-            left = spread.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-            if not left[1]:
-                break
-            last = left[0] <= 8 * left[1]
-        if last:
-            one = mixed.join(spread.select("key"), "key")
-            counts = one.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("big")).select("key", F.col("big.label").alias("big"))
-            rest = mixed.join(counts, "key").where("label <> big").select("key", F.col("cls").alias("x"), F.col("label").alias("lx"), "big")
-            pairs = rest.join(mixed.select("key", F.col("cls").alias("y"), F.col("label").alias("ly")), "key").where("lx <> ly AND (ly = big OR x < y)").select("x", "y")
+    labels = scratch.save(known.select("cid", F.col("cid").alias("label")), "labels")
+    tested = None
+    for turn in range(HUB_ROUNDS + 1):
+        # buckets within one component are done with; written, so that joins have plain shuffles on both sides and a hot bucket is split
+        labelled = members.join(labels, "cid")
+        spread = scratch.save(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "label")).alias("hub")).where("least <> most").select("key", "hub"), "spread")
+        mixed = scratch.save(labelled.join(spread, "key"), "mixed")
+        members = mixed.select("key", "band", "cid")
+        if turn < HUB_ROUNDS:
+            pairs = mixed.where("label <> hub.label").select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
         else:
-            pairs = mixed.join(spread.select("key", F.col("hub.cls").alias("y"), F.col("hub.label").alias("ly")), "key").where("label <> ly").select(F.col("cls").alias("x"), "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pairs = _block_pairs(mixed.drop("hub"), known, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
-        found = scratch.save(_confirmed(scratch.save(_likely(pairs, known, percent), "likely"), texts, size, percent), "links")
-        links = found if links is None else links.unionByName(found)
+        likely = scratch.save(_likely(pairs, known, percent), "likely") if turn < HUB_ROUNDS else pairs
+        found = scratch.save(_confirmed(likely, texts, size, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = spread_labels(labels, found, scratch)
-        if last:
-            break
-    named = sketches.select("doc_id", "n_shingles", "cls").join(classes, "cls").join(labels.select("cls", F.col("label.rep").alias("least_id")), "cls", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("least_id", "rep")).otherwise(F.col("doc_id"))
+    # null ids name a component only where it has no other
+    linked = labels.join(known.select("cid", "cls", "rep"), "cid")
+    least = scratch.save(linked.groupBy("label").agg(F.min("rep").alias("least_id")), "least")
+    named = linked.join(least, "label").select(F.col("cls").alias("c"), "least_id")
+    ids = classes.join(named.hint("merge"), F.col("cls") == F.col("c"), "left").select("cls", F.coalesce("least_id", "rep").alias("component_id"))
+    filled = sketches.where("n_shingles > 0").select("doc_id", "n_shingles", "cls").join(scratch.save(ids, "ids"), "cls")
     empty = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = named.select("doc_id", "n_shingles", component.alias("component_id")).unionByName(empty)
+    out = filled.select("doc_id", "n_shingles", "component_id").unionByName(empty)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -244,6 +297,6 @@ def _of_class(found: DataFrame, size: int) -> DataFrame:
                     got = [set_digest(s) for s in document_shingles(data, ends, size)]
                 part = batch.slice(first, end - first)
                 keep = [g == w for g, w in zip(got, part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1)], ["cls", "text"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(1)], ["cid", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    return found.select("doc_id", "text", "want").mapInArrow(judge, "cls binary, text string").dropDuplicates(["cls"])
+    return found.select("doc_id", "text", "want", "cid").mapInArrow(judge, "cid long, text string").dropDuplicates(["cid"])

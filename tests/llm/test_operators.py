@@ -251,8 +251,7 @@ def test_chat_parts_and_round_trip(spark):
 def test_quality(spark):
     from sievelight.llm.quality import keep_good, score_quality, train_quality
 
-    plain = lambda i: "".join(c for c in prose(40, i) if not c.isdigit())
-    texts = [plain(i) + (" awfulword" if i % 4 == 0 else " $$$ !!! $$$ ### &&& ***" * 12 if i % 4 == 1 else "") for i in range(400)]
+    texts = [prose(40, i) + (" awfulword" if i % 4 == 0 else " $$$ !!! $$$ ### &&& ***" * 12 if i % 4 == 1 else "") for i in range(400)]
     docs = docs_of(spark, [*texts, None, "", "x"])
     labels = spark.createDataFrame([(i, 0 if i % 4 == 1 else 1, int(i % 4 == 0)) for i in range(300)] + [(0, None, 1), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in score_quality(docs, train_quality(docs, labels)).collect()}
