@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sievelight.llm.bytewords import ALNUM, NOT_SPACE, chunks, mix, split_words
 
 BITS = 18
-MAX_RATED = 20_000
+MAX_RATED = 8_000
 #: Bytes of the word beginnings that are features besides whole words: inflected forms share them.
 HEADS = (4, 5, 6)
 #: Steps of descent that a small sample gets too.
@@ -108,7 +108,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, levels: int = 3, epochs:
             d_hi, d_lo = hi * (1 - hi) * np.isfinite(t[y + 1]), lo * (1 - lo) * np.isfinite(t[y])
             p = np.maximum(hi - lo, 1e-9)
             slope = (d_hi - d_lo) / p  # of -log p by score
-            used = np.unique(code)
+            seen = np.zeros(1 << BITS, bool)
+            seen[code] = True
+            used = np.flatnonzero(seen)
             g = np.bincount(code, slope[owner], minlength=1 << BITS)[used]
             after = squares[used] + g * g
             summed[used] += g - (np.sqrt(after) - np.sqrt(squares[used])) / rate * weights[used]
