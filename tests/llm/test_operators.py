@@ -145,6 +145,41 @@ def test_near_passages(spark):
     assert near_passages(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def brute_passages(texts, size=5, words=50, percent=80):
+    """Documents of which a passage has the similarity to one of an earlier document."""
+    span, out = words - size + 1, set()
+    lists = [[tuple(w[i : i + size]) for i in range(len(w) - size + 1)] for w in (t.lower().split() for t in texts)]
+    for x, mine in enumerate(lists):
+        for y, other in enumerate(lists[:x]):
+            if set(mine) & set(other):
+                sets = [set(other[j : j + span]) for j in range(len(other) - span + 1)]
+                passages = (set(mine[i : i + span]) for i in range(len(mine) - span + 1))
+                if any(100 * len(p & q) >= percent * len(p | q) for p in passages for q in sets):
+                    out.add((x, y))
+    return out
+
+
+def edit(text, places):
+    words = text.split()
+    for at in places:
+        words[at] = f"edited{at}"
+    return " ".join(words)
+
+
+def test_near_passages_after_earlier_variants(spark):
+    from sievelight.llm.passages import near_passages
+
+    texts = []
+    for k in range(12):
+        passage = prose(50, 100 + k)
+        variants = [edit(passage, places) for places in ((10, 30), (20, 40), (15, 33), (25, 44))]  # of each other and of the passage under 0.8
+        texts += [f"{prose(20, 1000 + 10 * k + i)} {v} {prose(20, 2000 + 10 * k + i)}" for i, v in enumerate([*variants, passage, passage, edit(passage, [25])])]
+    truth = brute_passages(texts)
+    assert {x % 7 for x, _ in truth} == {5, 6}
+    got = {(r["doc_id"], r["first_doc_id"]) for r in near_passages(docs_of(spark, texts)).collect()}
+    assert got <= truth and {x for x, _ in got} == {x for x, _ in truth}
+
+
 def test_compact_windows_against_all_subsequences():
     import numpy as np
 
