@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that occur earlier; one that consists of such runs only goes."""
-    found = dedup_lines(docs, min_lines=3, scratch=Scratch(spark, "lines"))
+    """Documents without runs of three lines, or of 50 words in fewer, that occur earlier; one that consists of such runs only goes."""
+    found = dedup_lines(docs, min_lines=3, min_words=50, scratch=Scratch(spark, "lines"))
     return _resized(found.where("n_removed = 0 OR n_removed < n_lines"), docs.columns)
 
 

@@ -6,7 +6,8 @@ again by their first 2k lines, until ``min_lines`` lines are compared. A suffix
 alone is finished and leaves. Equal ranks at that depth are the intervals of the suffix array
 whose longest common prefix is at least ``min_lines``; in each, the first suffix in corpus order
 (doc_id, then row, then line) stays, and the windows of the others, joined where they touch, are
-the maximal repeated runs, which are deleted.
+the maximal repeated runs, which are deleted. With ``min_words``, a shorter run of equal lines that
+holds so many words is deleted too; then every depth below ``min_lines`` is ranked.
 
 Cases: a null text has no lines and stays null; an empty text is one empty line; a document of
 fewer than ``min_lines`` lines loses nothing; repeated rows are documents of their own, of which
@@ -31,45 +32,54 @@ def ranks(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(dealt.select(*own, (F.col("part").cast("long") * (1 << 40) + placed).alias("next")), "ranks")
 
 
-def repeated_windows(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
-    """Suffixes (row, doc_id, pos) that share their first ``min_lines`` lines with another, with their rank at that depth.
+def repeated_windows(lines: DataFrame, min_lines: int, min_words: int | None, scratch: Scratch) -> list[tuple[int, DataFrame]]:
+    """(depth, suffixes): row, doc_id, pos of suffixes that share their first ``min_lines`` lines with another, with their rank at that depth.
 
-    ``lines``: row, doc_id, pos, rank (a line id).
+    With ``min_words`` also, of each lower depth, those whose lines hold so many words.
+    ``lines``: row, doc_id, pos, rank (a line id), words.
     """
     repeated = scratch.save(lines.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "repeated")
     active = scratch.save(lines.join(repeated, "rank"), "depth1")
-    depth = 1
+    depth, out = 1, []
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        further = active.select("row", (F.col("pos") - step).alias("pos"), F.col("rank").alias("rank2"))
-        paired = scratch.save(active.join(further, ["row", "pos"]).select("row", "doc_id", "pos", "rank", "rank2"), "paired")
+        if min_words is not None:
+            out.append((depth, active.where(F.col("words") >= min_words)))
+        step = min(depth, min_lines - depth) if min_words is None else 1
+        # of the lines further on, a depth of ``step`` is needed only: with min_words, the lines themselves
+        source = active if min_words is None else lines
+        further = source.select("row", (F.col("pos") - (step if min_words is None else depth)).alias("pos"), F.col("rank").alias("rank2"), F.col("words").alias("words2"))
+        paired = scratch.save(active.join(further, ["row", "pos"]).select("row", "doc_id", "pos", "rank", "rank2", (F.col("words") + F.col("words2")).alias("words")), "paired")
         groups = paired.groupBy("rank", "rank2").agg(F.count("*").alias("n")).where("n > 1").select("rank", "rank2")
         named = ranks(groups, scratch)
-        active = scratch.save(paired.join(named, ["rank", "rank2"]).select("row", "doc_id", "pos", F.col("next").alias("rank")), "deeper")
+        active = scratch.save(paired.join(named, ["rank", "rank2"]).select("row", "doc_id", "pos", F.col("next").alias("rank"), "words"), "deeper")
         depth += step
-    return active
+    return [*out, (depth, active)]
 
 
-def later_runs(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
+def later_runs(lines: DataFrame, min_lines: int, min_words: int | None, scratch: Scratch) -> DataFrame:
     """Maximal runs to delete, per row: arrays of first lines and of ends, in order."""
-    windows = repeated_windows(lines, min_lines, scratch)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row"), F.col("pos"))
-    firsts = scratch.save(windows.groupBy("rank").agg(F.min(place).alias("first")), "firsts")
-    later = windows.join(firsts, "rank").where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos"))).select("row", "pos")
-    order = Window.partitionBy("row").orderBy("pos")
-    opens = F.when(F.col("pos") - F.lag("pos").over(order) <= min_lines, 0).otherwise(1)
-    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy("row", "run").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines).alias("end"))
+    later = None
+    for depth, windows in repeated_windows(lines, min_lines, min_words, scratch):
+        firsts = scratch.save(windows.groupBy("rank").agg(F.min(place).alias("first")), "firsts")
+        own = windows.join(firsts, "rank").where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos"))).select("row", "pos", (F.col("pos") + depth).alias("end"))
+        later = own if later is None else later.unionByName(own)
+    order = Window.partitionBy("row").orderBy("pos", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("pos") <= reached, 0).otherwise(1)
+    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "run").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
     return runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs")).select("row", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends"))
 
 
-def dedup_lines(docs: DataFrame, *, min_lines: int = 3, scratch: Scratch | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_lines: int = 3, min_words: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) with text without its repeated runs, and n_lines, n_removed, n_runs."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     own = [f"`{c}`" for c in docs.columns]
     base = scratch.save(docs.select(F.struct(*own).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "rows")
-    ids = F.transform(F.split("doc.text", "\n", -1), lambda x: F.unhex(F.md5(x)))
-    lines = base.where("doc.text IS NOT NULL").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.posexplode(ids).alias("pos", "rank"))
-    runs = later_runs(scratch.save(lines, "lines"), min_lines, scratch)
+    words = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long") if min_words is not None else F.lit(0).cast("long")
+    ids = F.transform(F.split("doc.text", "\n", -1), lambda x: F.struct(F.unhex(F.md5(x)).alias("rank"), words(x).alias("words")))
+    lines = base.where("doc.text IS NOT NULL").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.posexplode(ids).alias("pos", "line")).select("row", "doc_id", "pos", "line.rank", "line.words")
+    runs = later_runs(scratch.save(lines, "lines"), min_lines, min_words, scratch)
     joined = base.join(runs.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
     joined = joined.withColumn("parts", F.split("doc.text", "\n", -1))
     n = F.coalesce(F.size("parts"), F.lit(0))

@@ -327,6 +327,15 @@ def test_line_dedup(spark, least):
     assert dedup_lines(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_line_dedup_by_words(spark):
+    import corpus_pipeline
+
+    one, half, rest = prose(50, 31), prose(25, 32), prose(26, 33)
+    texts = [f"{one}\na\n{half}\n{rest}", f"b\n{one}\nc\n{half}\nd", f"e\n{half}\n{rest}\nf\n{rest}", f"{one}\n{one}\n{prose(49, 34)}", prose(49, 34) + "\ng", one]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs_of(spark, texts), "").collect()}
+    assert got == {0: texts[0], 1: f"b\nc\n{half}\nd", 2: f"e\nf\n{rest}", 3: prose(49, 34), 4: texts[4]}
+
+
 # --- 10
 
 
