@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievelight.llm.scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4_096
@@ -157,10 +159,11 @@ def _pieces(sized: DataFrame, block_words: int, *carry: Column | str) -> DataFra
 
 
 def mix_counts(docs: DataFrame, *, block_words: int = 32, scratch=None, **options) -> DataFrame:
-    """One row per document: size, source_size, target (of its source, in words) and taken (words that the mix takes, repeats counted)."""
+    """Write the mix; one row per document: size, source_size, target (of its source, in words) and taken (words of it in what was written)."""
+    scratch = scratch or Scratch(docs.sparkSession, "mix")
     plan = plan_mix(docs, block_words=block_words, scratch=scratch, **options)
-    copies = plan.slots.groupBy("source_no", "block").agg(F.count("*").alias("copies")).hint("merge")  # expanded from few rows: Spark takes it for small
-    taken = _pieces(plan.sized, block_words).join(copies, ["source_no", "block"]).groupBy("source_no", "offset").agg(F.sum(F.col("copies") * F.col("count")).alias("taken"))
+    written = scratch.save(_blocks(plan, docs, block_words), "mix")
+    taken = written.select("source_no", F.explode("parts").alias("part")).groupBy("source_no", "part.offset").agg(F.sum("part.count").alias("taken"))
     # a document with words is alone at its offset
     at = taken.withColumnsRenamed({"source_no": "s", "offset": "o"})
     joined = plan.sized.join(at.hint("merge"), (F.col("s") == F.col("source_no")) & (F.col("o") == F.col("offset")) & (F.col("size") > 0), "left")
@@ -169,10 +172,19 @@ def mix_counts(docs: DataFrame, *, block_words: int = 32, scratch=None, **option
 
 def mix_blocks(docs: DataFrame, *, block_words: int = 32, **options) -> DataFrame:
     """The mix itself: shard, slot, source, epoch, block and the block's words, one row per slot."""
-    plan = plan_mix(docs, block_words=block_words, **options)
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("g"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")).dropDuplicates(["d", "g"])
-    placed = plan.sized.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
-    pieces = _pieces(placed, block_words, "source", "words").withColumn("words", F.slice("words", F.col("first").cast("int") + 1, F.col("count").cast("int")))
-    packed = pieces.groupBy("source_no", "source", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "words"))).alias("parts"))
-    filled = packed.select("source_no", "source", "block", F.array_join(F.flatten("parts.words"), " ").alias("text"))
-    return plan.slots.hint("merge").join(filled.hint("merge"), ["source_no", "block"]).select("shard", "slot", "source", "epoch", "block", "text")
+    return _blocks(plan_mix(docs, block_words=block_words, **options), docs, block_words).drop("source_no", "parts")
+
+
+def _blocks(plan: Mix, docs: DataFrame, block_words: int) -> DataFrame:
+    """The mix, with its parts: the offset of each document in a block, and how many words were written of it."""
+    # texts and not arrays of words go through the shuffles, as these take a multiple of the space
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("g"), "text").dropDuplicates(["d", "g"])
+    placed = plan.sized.where("size > 0").join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
+    pieces = _pieces(placed.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), block_words, "source", "words")
+    own = F.array_join(F.slice("words", F.col("first").cast("int") + 1, F.col("count").cast("int")), " ")
+    # grouped by the keys of the join below, so that both share one shuffle
+    packed = pieces.select("source_no", "source", "block", F.struct("offset", "count", own.alias("text")).alias("part")).groupBy("source_no", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list("part")).alias("parts"))
+    parts = F.transform("parts", lambda x: F.struct(x.offset.alias("offset"), x["count"].alias("count")))
+    filled = packed.select("source_no", "source", "block", F.array_join("parts.text", " ").alias("text"), parts.alias("parts"))
+    # the slots are expanded from few rows: Spark takes them for small
+    return plan.slots.hint("merge").join(filled.hint("merge"), ["source_no", "block"]).select("shard", "slot", "source_no", "source", "epoch", "block", "text", "parts")

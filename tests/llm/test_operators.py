@@ -376,6 +376,18 @@ def test_mix(spark):
     assert mix_counts(docs.limit(0)).count() == 0
 
 
+def test_mix_counts_what_was_written(spark):
+    from sievelight.llm.mixing import mix_blocks, mix_counts
+    from sievelight.llm.scratch import Scratch
+
+    docs = docs_of(spark, [prose(40 + i, i) for i in range(20)], sources=["a", "b"] * 10)
+    scratch = Scratch(spark, "mixed")
+    rows = mix_counts(docs, scratch=scratch).collect()
+    written = spark.read.parquet(f"{scratch.root}/*-mix").select("shard", "slot", "source", "epoch", "block", "text")
+    assert sorted(written.collect()) == sorted(mix_blocks(docs).collect())
+    assert sum(len(r["text"].split()) for r in written.collect()) == sum(r["taken"] for r in rows) > 0
+
+
 # --- the pipeline
 
 
