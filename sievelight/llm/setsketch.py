@@ -8,8 +8,9 @@ below the threshold is confirmed on the full sets.
 
 Equal sets are one class from the start. In a bucket every class is compared with a hub only;
 classes that a component already holds together are not compared again, another hub follows, and
-at last every pair of classes of one bucket that is still in different components is compared, by
-registers and in blocks.
+at last every pair of classes of one bucket that is still in different components is compared, in
+blocks: by registers, then by the hashes of whole sets. A block returns the links that join its
+components, not all pairs, and these are confirmed on the texts.
 Components spread by labels in tables; nothing of them goes to the driver.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing; with
@@ -166,61 +167,168 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return joined.mapInArrow(judge, "a long, b long")
 
 
-def _block_pairs(mixed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of classes that share a bucket and are in different components, by comparing registers in blocks.
-
-    In each bucket the classes outside its largest component are dealt into blocks, and every class
-    of the bucket passes by each block; a pair is looked at in the first bucket that it shares only.
-    """
+def _dealt(mixed: DataFrame, rows_each: int) -> tuple[DataFrame, DataFrame]:
+    """Members of each bucket outside its largest component, dealt into blocks (side 0), and every member once for each block (side 1)."""
     counts = mixed.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("big"), F.sum("k").alias("n"))
-    sized = counts.select("key", F.col("big.label").alias("big"), F.ceil((F.col("n") - F.col("big.k")) / BLOCK_ROWS).cast("int").alias("blocks"))
+    sized = counts.select("key", F.col("big.label").alias("big"), F.ceil((F.col("n") - F.col("big.k")) / rows_each).cast("int").alias("blocks")).where("blocks > 0")
     rows = mixed.join(sized, "key")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     left = rows.where("label <> big").select("key", own.alias("block"), F.lit(0).cast("byte").alias("side"), "band", "cid", "label", "big")
     right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).cast("byte").alias("side"), "band", "cid", "label", "big")
-    sketched = left.unionByName(right).join(known.select("cid", "n_shingles", "regs").hint("merge"), "cid")
+    return left, right
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, block = None, [], None
-        for batch in batches:
-            key, part, side = (batch.column(i).to_numpy() for i in range(3))
-            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1, [len(key)]])
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if (key[lo], part[lo]) != group:
-                    group, held, block = (key[lo], part[lo]), [], None
-                if side[lo] == 0:
-                    held.append(batch.slice(lo, hi - lo))
-                    continue
-                if block is None and held:
-                    block = unpack(pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 30)[0])
-                if block is None:
-                    continue
+
+class Members:
+    """Classes of one bucket as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        at = lambda name: batch.column(batch.schema.get_field_index(name))
+        self.band, self.cid, self.label, self.big, self.size = (at(x).to_numpy() for x in ("band", "cid", "label", "big", "n_shingles"))
+        self.regs = np.frombuffer(b"".join(at("regs").to_pylist()), np.int16).reshape(-1, REGISTERS)
+        self.shingles = self.owner = None
+        if batch.schema.get_field_index("shingles") >= 0:
+            each = [np.frombuffer(x, np.uint64) for x in at("shingles").to_pylist()]
+            self.shingles, self.owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+
+
+def open_pairs(x: Members, y: Members, percent: int) -> np.ndarray:
+    """Which pairs are to be looked at here: of different components, of sizes that allow a link, and (where both are outside the largest component) once."""
+    once = (y.label == y.big)[None, :] | (x.cid[:, None] < y.cid[None, :])
+    sizes = 100 * np.minimum(x.size[:, None], y.size[None, :]) >= percent * np.maximum(x.size[:, None], y.size[None, :])
+    return once & sizes & (x.label[:, None] != y.label[None, :])
+
+
+def first_band_here(x: Members, y: Members, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs, those whose first common band is this bucket's: they are looked at in no other bucket."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 4_096):
+        u, v = i[at : at + 4_096], j[at : at + 4_096]
+        out[at : at + 4_096] = (x.regs[u] == y.regs[v]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == x.band[0]
+    return out
+
+
+def likely_members(x: Members, y: Members, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and of y that are in some pair whose estimate may reach the threshold."""
+    i, j = np.nonzero(open_pairs(x, y, percent))
+    here = first_band_here(x, y, i, j)
+    i, j = i[here], j[here]
+    found = [np.zeros(len(i), bool)]
+    for at in range(0, len(i), 4_096):
+        u, v = i[at : at + 4_096], j[at : at + 4_096]
+        found.append(estimate(x.regs[u], y.regs[v], x.size[u].astype(float), y.size[v].astype(float)) >= percent / 100 - SLACK)
+    found = np.concatenate(found[1:]) if len(i) else found[0]
+    return np.unique(i[found]), np.unique(j[found])
+
+
+def common_shingles(x: Members, y: Members) -> np.ndarray:
+    """Sizes of all intersections of the sets of x with those of y, by looking up each shingle of y among those of x."""
+    order = np.argsort(x.shingles, kind="stable")
+    values, owner = x.shingles[order], x.owner[order]
+    low = np.searchsorted(values, y.shingles)
+    n = np.searchsorted(values, y.shingles, "right") - low
+    out, total, at = np.zeros(len(x.cid) * len(y.cid), np.int64), np.cumsum(n), 0
+    while at < len(n):  # two million equal shingles at once
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, "right")))
+        k = n[at:to]
+        place = np.repeat(low[at:to] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        out += np.bincount(owner[place] * len(y.cid) + np.repeat(y.owner[at:to], k), minlength=len(out))
+        at = to
+    return out.reshape(len(x.cid), len(y.cid))
+
+
+def joining_links(x: Members, y: Members, percent: int, root: dict[int, int]) -> list[tuple[int, int]]:
+    """Links that join components which ``root`` (changed in place) has apart, one for each joining."""
+
+    def top(label: int) -> int:
+        while (up := root.get(label, label)) != label:
+            root[label] = root.get(up, up)
+            label = up
+        return label
+
+    of = lambda m: np.array([top(z) for z in m.label.tolist()])
+    mine, theirs = of(x), of(y)
+    asked = open_pairs(x, y, percent) & (mine[:, None] != theirs[None, :])
+    i, j = np.nonzero(asked)
+    here = first_band_here(x, y, i, j)
+    i, j = i[here], j[here]
+    if not len(i):
+        return []
+    both = common_shingles(x, y)[i, j]
+    linked = 100 * both >= percent * (x.size[i] + y.size[j] - both)
+    i, j, out = i[linked], j[linked], []
+    while len(i):
+        out.append((int(x.cid[i[0]]), int(y.cid[j[0]])))
+        old, new = mine[i[0]], theirs[j[0]]
+        root[int(old)] = int(new)
+        mine[mine == old], theirs[theirs == old] = new, new
+        apart = mine[i] != theirs[j]
+        i, j = i[apart], j[apart]
+    return out
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Members, pa.RecordBatch]]:
+    """(key and block, members of the block, a slice of the bucket's members) of rows in the order of key, block and side."""
+    group, held, block = None, [], None
+    for batch in batches:
+        key, part, side = (batch.column(i).to_numpy() for i in range(3))
+        edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1, [len(key)]])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi > lo and (key[lo], part[lo]) != group:
+                group, held, block = (key[lo], part[lo]), [], None
+            if hi > lo and side[lo] == 0:
+                held.append(batch.slice(lo, hi - lo))
+            elif hi > lo and held:
+                block = block or Members(pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 30)[0])
                 for at in range(lo, hi, 64):
-                    found = judge(block, unpack(batch.slice(at, min(64, hi - at))))
-                    if len(found[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*found)), pa.array(np.maximum(*found))], ["a", "b"])
-
-    def unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
-        regs = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.int16).reshape(-1, REGISTERS)
-        return [*(batch.column(i).to_numpy() for i in (3, 4, 5, 6, 7)), regs]  # band, cid, label, big, n_shingles, regs
-
-    def judge(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ok = (x[2][:, None] != y[2][None, :]) & ((y[2] == y[3])[None, :] | (x[1][:, None] < y[1][None, :]))
-        n_x, n_y = x[4][:, None], y[4][None, :]
-        i, j = np.nonzero(ok & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)))
-        out = []
-        for at in range(0, len(i), 4_096):
-            u, v = i[at : at + 4_096], j[at : at + 4_096]
-            first = (x[5][u] == y[5][v]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            near = first == x[0][0]
-            u, v = u[near], v[near]
-            likely = estimate(x[5][u], y[5][v], x[4][u].astype(float), y[4][v].astype(float)) >= percent / 100 - SLACK if len(u) else np.zeros(0, bool)
-            out.append((x[1][u[likely]], y[1][v[likely]]))
-        return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    yield group, block, batch.slice(at, min(64, hi - at))
 
+
+def _block_links(mixed: DataFrame, known: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join what is left of the buckets, by comparing their classes in blocks.
+
+    Registers first tell which classes have a likely partner. The sets of these then meet in the
+    same way, as 64-bit hashes of their shingles: a block knows which of its components it has
+    joined and returns one link for each joining, however many pairs are linked.
+    """
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sketched.select("key", "block", "side", "band", "cid", "label", "big", "n_shingles", "regs").repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    deal = lambda df: df.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side")
+    left, right = _dealt(mixed, BLOCK_ROWS)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, told = None, set()
+        for key, x, part in _by_block(batches):
+            if key != group:
+                group, told = key, set()
+            y = Members(part)
+            i, j = likely_members(x, y, percent)
+            new = {*x.cid[i].tolist(), *y.cid[j].tolist()} - told
+            told |= new
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(new), pa.int64()), pa.array(sorted(new), pa.int64())], ["key", "cid"])
+
+    sketched = deal(left.unionByName(right).join(known.select("cid", "n_shingles", "regs").hint("merge"), "cid").select("key", "block", "side", "band", "cid", "label", "big", "n_shingles", "regs"))
+    open_ = scratch.save(sketched.mapInArrow(likely, "key long, cid long").distinct(), "open")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, ends in chunks(batch.column(1)):
+                with np.errstate(over="ignore"):
+                    sets = [s.tobytes() for s in document_shingles(data, ends, size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sets, pa.binary())], ["cid", "shingles"])
+
+    sets = scratch.save(texts.join(open_.select("cid").distinct(), "cid", "left_semi").select("cid", "text").mapInArrow(hashed, "cid long, shingles binary"), "sets")
+    left, right = _dealt(mixed.join(open_, ["key", "cid"]), BLOCK_ROWS)
+    whole = left.unionByName(right).join(known.select("cid", "n_shingles", "regs").hint("merge"), "cid").join(sets.hint("merge"), "cid")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, root = None, {}
+        for key, x, part in _by_block(batches):
+            if key != group:
+                group, root = key, {}
+            if found := joining_links(x, Members(part), percent, root):
+                yield pa.RecordBatch.from_arrays([pa.array([f(z) for z in found], pa.int64()) for f in (min, max)], ["a", "b"])
+
+    return deal(whole.select("key", "block", "side", "band", "cid", "label", "big", "n_shingles", "regs", "shingles")).mapInArrow(link, "a long, b long").distinct()
 
 
 def spread_labels(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -268,8 +376,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, scratc
         if turn < HUB_ROUNDS:
             pairs = mixed.where("label <> hub.label").select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
         else:
-            pairs = _block_pairs(mixed.drop("hub"), known, percent)
-        if tested is not None:
+            pairs = _block_links(mixed.drop("hub"), known, texts, size, percent, scratch)
+        if tested is not None and turn < HUB_ROUNDS:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
         likely = scratch.save(_likely(pairs, known, percent), "likely") if turn < HUB_ROUNDS else pairs
