@@ -1,34 +1,38 @@
 """Mixing sources to target weights.
 
-A source's texts form one stream of words, packed into blocks of a fixed length. Each output
-shard draws its source counts from a multinomial over what is left of every source's quota, so
-that the shards together meet the quotas. A source's slot ``j`` is block ``perm(j mod blocks)``
-of a pseudorandom permutation that differs from epoch to epoch, and blocks join slots by index.
+Documents are dealt by hash into pools, one for each output shard. In a pool each source's words
+are packed into blocks of a fixed length. The shard's slots draw their sources from a multinomial:
+a source has the whole part of its expected slots, and what is left is drawn by the parts after
+the point, so that the shards together meet the targets. Slot ``j`` of a source in a shard is
+block ``perm(j mod blocks)`` of a pseudorandom permutation that differs from source to source, shard
+to shard and epoch to epoch, and slots join blocks by that index inside the shard. The texts go
+through one shuffle, and the shard that they go to writes them.
 
 Cases: a null text has no words and is never taken; a null source is a source of its own, after
-all others; a source without words has target 0; repeated rows are documents of their own; an
-empty table gives an empty mix. The number of sources must fit the driver (``MAX_SOURCES``).
+all others; a source without words has target 0; repeated rows are documents of their own, which
+share what was taken of them evenly; a pool that grows beyond ``CUT`` times its size is cut into
+several shards; an empty table gives an empty mix. The number of sources must fit the driver
+(``MAX_SOURCES``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
-MAX_SHARDS = 4_096
-#: Slots of one row of the plan, before it is expanded, and of one task.
-RUN = 4_096
-TASK_SLOTS = 100_000
+#: Slots of a shard on average, and times that at which a pool is cut.
+SHARD_SLOTS = 1 << 14
+CUT = 4
+MIXED = "shard long, slot int, source_no int, source string, epoch int, block int, text string, parts array<struct<doc_id:long,digest:long,count:int>>"
 
 
 def source_targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -64,127 +68,152 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_draws(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard: multinomial draws by what is left, the last shard taking the rest."""
-    rng, left = np.random.Generator(np.random.PCG64(seed)), quota.astype(np.int64).copy()
-    out = np.zeros((shards, len(quota)), np.int64)
-    for s in range(shards):
-        room = int(left.sum()) // (shards - s)
-        if s == shards - 1:
-            drawn = left.copy()
-        else:
-            drawn = np.minimum(rng.multinomial(room, left / max(1, left.sum())), left)
-            for i in np.argsort(drawn - left):  # what the draw put above a quota goes where most is left
-                more = min(room - int(drawn.sum()), int(left[i] - drawn[i]))
-                drawn[i] += more
-        out[s], left = drawn, left - drawn
-    return out
-
-
-@dataclass
-class Mix:
-    sized: DataFrame  # row_key, source, source_no, size, offset and what was carried
-    sources: pd.DataFrame  # source_no, source, source_size, blocks, slots, target
-    slots: DataFrame  # shard, slot, source_no, block, epoch
+def residual_draws(expected: np.ndarray, most: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Slots of each source in a shard, given those expected: their whole parts, and a multinomial draw of the rest by the parts after the point."""
+    sure = np.floor(expected + 1e-9).astype(np.int64)
+    rest = np.maximum(expected - sure, 0)
+    room = int(np.floor(rest.sum() + rng.random()))
+    drawn = rng.multinomial(room, rest / rest.sum()) if room else np.zeros(len(sure), np.int64)
+    return np.minimum(sure + drawn, most)
 
 
 def default_weights(n: int) -> list[float]:
     return [float(i % 3 + 1) for i in range(n)]
 
 
-def plan_mix(docs: DataFrame, *, block_words: int = 32, cap: float = 3.0, seed: int = 17, weights=default_weights, shard_slots: int = 1 << 16, scratch=None) -> Mix:
-    """Sizes, targets, block layout and slots. ``docs`` needs doc_id, text and source."""
-    spark = docs.sparkSession
-    given = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)).alias("size"), F.xxhash64("text").alias("digest"))
-    if scratch:
-        given = scratch.save(given, "sizes")
-    stats = given.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).toPandas()
+def doc_sizes(docs: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("digest"))
+
+
+def source_stats(sized: DataFrame, *, cap: float, weights) -> pd.DataFrame:
+    """source_no, source, source_size and target of every source, in order of code points, null last."""
+    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).toPandas()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     names = [None if x is None or x != x else x for x in stats["source"]]
-    stats["source"] = pd.Series(names, dtype=object)
     order = sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] or ""))
-    stats = stats.iloc[order].reset_index(drop=True)
-    stats["source_no"] = np.arange(len(stats))
-    sizes = [int(x) for x in stats["source_size"]]
-    stats["target"] = source_targets(sizes, weights(len(sizes)), cap)
-    stats["blocks"] = [-(-n // block_words) for n in sizes]
-    stats["slots"] = [round(t * b / n) if n else 0 for t, b, n in zip(stats["target"], stats["blocks"], sizes, strict=True)]
-    stats["salts"] = [max(1, math.ceil(r / max(256, math.sqrt(r)))) for r in stats["rows"]]
-    rows = [(int(r.source_no), r.source, int(r.source_size), float(r.target), int(r.blocks), int(r.salts)) for r in stats.itertuples()]
-    lookup = spark.createDataFrame(rows, "source_no int, name string, source_size long, target double, blocks long, salts int")
-    # the sources were counted above: never more than MAX_SOURCES rows
-    sized = given.join(F.broadcast(lookup), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    sized = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.col("salts")))
-    within = Window.partitionBy("source_no", "salt").orderBy("doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("source_no").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = sized.groupBy("source_no", "salt").agg(F.sum("size").alias("salt_size")).select("source_no", "salt", F.coalesce(F.sum("salt_size").over(across), F.lit(0)).alias("base"))
-    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base, ["source_no", "salt"])
-    placed = placed.withColumn("offset", F.col("base") + F.col("before")).drop("base", "before", "salt", "salts")
-    return Mix(placed, stats, _slots(spark, stats, shard_slots, seed))
-
-
-def _slots(spark: SparkSession, stats: pd.DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    quota = stats["slots"].to_numpy(np.int64) if len(stats) else np.zeros(0, np.int64)
-    shards = int(min(MAX_SHARDS, max(1, -(-int(quota.sum()) // shard_slots))))
-    drawn = shard_draws(quota, shards, seed)
-    runs, done = [], np.zeros(len(quota), np.int64)
-    for s in range(shards):
-        for i in np.flatnonzero(drawn[s]):
-            n = int(drawn[s, i])
-            step = max(RUN, -(-n // 64))
-            runs += [(s, int(i), int(done[i]) + a, min(step, n - a), int(stats["blocks"][i])) for a in range(0, n, step)]
-            done[i] += n
-    given = spark.createDataFrame(runs, "shard int, source_no int, first long, count long, blocks long").repartition(max(1, min(len(runs), -(-int(quota.sum()) // TASK_SLOTS))))
-    given = given.select("shard", "source_no", "blocks", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot"))
-
-    def image(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            n = x["blocks"].to_numpy(np.int64)
-            slot, source = x["slot"].to_numpy(np.int64), x["source_no"].to_numpy(np.int64)
-            epoch = slot // np.maximum(n, 1)
-            key = (source.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (epoch.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(seed)
-            yield pd.DataFrame({"shard": x["shard"], "slot": slot, "source_no": x["source_no"], "block": permuted(slot % np.maximum(n, 1), n, key), "epoch": epoch})
-
-    return given.mapInPandas(image, "shard int, slot long, source_no int, block long, epoch long")
-
-
-def _pieces(sized: DataFrame, block_words: int, *carry: Column | str) -> DataFrame:
-    """A row for each block that a document has words in: block, first and count (words of the document)."""
-    last = F.expr(f"(offset + size - 1) div {block_words}")
-    out = sized.where("size > 0").select("source_no", "doc_id", "digest", "size", "offset", *carry, F.explode(F.sequence(F.expr(f"offset div {block_words}"), last)).alias("block"))
-    lo = F.greatest(F.col("offset"), F.col("block") * block_words)
-    hi = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block_words)
-    return out.withColumn("first", lo - F.col("offset")).withColumn("count", hi - lo)
-
-
-def mix_counts(docs: DataFrame, *, block_words: int = 32, scratch=None, **options) -> DataFrame:
+    sizes = [int(stats["source_size"].iloc[i]) for i in order]
+    return pd.DataFrame({"source_no": np.arange(len(order)), "source": pd.Series([names[i] for i in order], dtype=object), "source_size": sizes, "target": source_targets(sizes, weights(len(sizes)), cap)})
+
+
+class Shard:
+    """The documents of one shard, as they come, and its slots."""
+
+    def __init__(self, number: int):
+        self.number, self.words, self.docs = number, 0, []
+
+    def add(self, source: int, doc_id: int | None, digest: int, text: bytes) -> None:
+        words = text.split()
+        self.docs.append((source, doc_id, digest, words))
+        self.words += len(words)
+
+    def slots(self, ratio: np.ndarray, block_words: int, cap: float, seed: int) -> Iterator[tuple]:
+        """(slot, source, epoch, block, text, parts): the shard's sources in turn by a random order of all its slots."""
+        streams: dict[int, list] = {}
+        for doc in self.docs:
+            streams.setdefault(doc[0], []).append(doc)
+        sources = np.array(sorted(streams), np.int64)
+        size = np.array([sum(len(d[3]) for d in streams[i]) for i in sources.tolist()], np.int64)
+        blocks = -(-size // block_words)
+        rng = np.random.Generator(np.random.PCG64([seed, self.number]))
+        drawn = residual_draws(ratio[sources] * blocks, (cap * blocks).astype(np.int64), rng) if len(sources) else blocks
+        of = np.repeat(np.arange(len(sources)), drawn)
+        j = np.arange(len(of)) - np.repeat(np.cumsum(drawn) - drawn, drawn)
+        epoch = j // np.maximum(blocks[of], 1)
+        own = np.full(len(of), self.number * 0xD6E8FEB86659FD93 & (1 << 64) - 1, np.uint64)
+        key = (sources[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (epoch.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ own ^ np.uint64(seed)
+        block = permuted(j % np.maximum(blocks[of], 1), blocks[of], key) if len(of) else j
+        packed = {k: self._packed(streams[i], block_words) for k, i in enumerate(sources.tolist())}
+        for slot, at in enumerate(rng.permutation(len(of)).tolist()):
+            text, parts = packed[of[at]][block[at]]
+            yield slot, int(sources[of[at]]), int(epoch[at]), int(block[at]), text, parts
+
+    @staticmethod
+    def _packed(docs: list, block_words: int) -> list[tuple[str, list]]:
+        """The words of documents in blocks of ``block_words``, with what each document has in it."""
+        out, words, parts = [], [], []
+        for _, doc_id, digest, own in docs:
+            at = 0
+            while at < len(own):
+                n = min(block_words - len(words), len(own) - at)
+                words += own[at : at + n]
+                parts.append((doc_id, digest, n))
+                at += n
+                if len(words) == block_words:
+                    out.append((b" ".join(words).decode(), parts))
+                    words, parts = [], []
+        return [*out, (b" ".join(words).decode(), parts)] if words else out
+
+
+def _blocks(docs: DataFrame, sized: DataFrame, stats: pd.DataFrame, *, block_words: int, cap: float, seed: int, shard_slots: int) -> DataFrame:
+    """The mix: one row per slot, with the words and what each document has of them."""
+    spark = docs.sparkSession
+    total = int(stats["source_size"].sum())
+    pools = max(1, -(-total // (shard_slots * block_words)))
+    lookup = spark.createDataFrame([(int(r.source_no), r.source) for r in stats.itertuples()], "source_no int, name string")
+    sent = spark.sparkContext.broadcast(([r.source for r in stats.itertuples()], np.array([t / n if n else 0.0 for t, n in zip(stats["target"], stats["source_size"], strict=True)])))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.xxhash64("text").alias("digest")).where("text IS NOT NULL")
+    # the sources were counted: never more than MAX_SOURCES rows
+    given = given.join(F.broadcast(lookup), F.col("source").eqNullSafe(F.col("name")))
+    given = given.select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(pools)).alias("pool"), F.xxhash64("digest", "doc_id", F.lit(seed)).alias("turn"), "doc_id", "source_no", "digest", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ratio = sent.value
+        pool, shard, cuts = None, None, 0
+        for batch in batches:
+            texts = batch.column(5).cast(pa.binary())
+            for i, (p, doc_id, source, digest) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)):
+                if shard is not None and (p != pool or shard.words >= CUT * shard_slots * block_words):
+                    yield from rows(shard, names, ratio)
+                    cuts, shard = (cuts + 1 if p == pool else 0), None
+                if shard is None:
+                    pool, shard = p, Shard(p + cuts * pools)
+                shard.add(source, doc_id, digest, texts[i].as_py())
+        if shard is not None:
+            yield from rows(shard, names, ratio)
+
+    def rows(shard: Shard, names: list, ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for x in shard.slots(ratio, block_words, cap, seed):
+            held.append(x)
+            if len(held) == 8_192:
+                yield pack(shard.number, held, names)
+                held = []
+        if held:
+            yield pack(shard.number, held, names)
+
+    def pack(number: int, held: list[tuple], names: list) -> pa.RecordBatch:
+        slot, source, epoch, block, text, each = zip(*held, strict=True)
+        flat = [p for x in each for p in x]
+        struct = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.int64()), pa.array([p[1] for p in flat], pa.int64()), pa.array([p[2] for p in flat], pa.int32())], ["doc_id", "digest", "count"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in each])]), pa.int32()), struct)
+        i32 = lambda x: pa.array(x, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(held), pa.int64()), i32(slot), i32(source), pa.array([names[k] for k in source], pa.string()), i32(epoch), i32(block), pa.array(text, pa.string()), lists], ["shard", "slot", "source_no", "source", "epoch", "block", "text", "parts"])
+
+    return given.repartition(parts, "pool").sortWithinPartitions("pool", "turn", "doc_id", "source_no").mapInArrow(mix, MIXED)
+
+
+def mix_counts(docs: DataFrame, *, block_words: int = 32, cap: float = 3.0, seed: int = 17, weights=default_weights, shard_slots: int = SHARD_SLOTS, scratch: Scratch | None = None) -> DataFrame:
     """Write the mix; one row per document: size, source_size, target (of its source, in words) and taken (words of it in what was written)."""
-    scratch = scratch or Scratch(docs.sparkSession, "mix")
-    plan = plan_mix(docs, block_words=block_words, scratch=scratch, **options)
-    written = scratch.save(_blocks(plan, docs, block_words), "mix")
-    taken = written.select("source_no", F.explode("parts").alias("part")).groupBy("source_no", "part.offset").agg(F.sum("part.count").alias("taken"))
-    # a document with words is alone at its offset
-    at = taken.withColumnsRenamed({"source_no": "s", "offset": "o"})
-    joined = plan.sized.join(at.hint("merge"), (F.col("s") == F.col("source_no")) & (F.col("o") == F.col("offset")) & (F.col("size") > 0), "left")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "digest")
-
-
-def mix_blocks(docs: DataFrame, *, block_words: int = 32, **options) -> DataFrame:
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "mix")
+    sized = scratch.save(doc_sizes(docs), "sizes")
+    stats = source_stats(sized, cap=cap, weights=weights)
+    written = scratch.save(_blocks(docs, sized, stats, block_words=block_words, cap=cap, seed=seed, shard_slots=shard_slots), "mix")
+    taken = written.select("source_no", F.explode("parts").alias("part")).groupBy(F.col("source_no").alias("s"), F.col("part.doc_id").alias("i"), F.col("part.digest").alias("g")).agg(F.sum("part.count").alias("all_taken"))
+    lookup = spark.createDataFrame([(int(r.source_no), r.source, int(r.source_size), float(r.target)) for r in stats.itertuples()], "source_no int, name string, source_size long, target double")
+    # repeated rows are one here, and are told apart again below
+    groups = sized.groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("copies")).join(F.broadcast(lookup), F.col("source").eqNullSafe(F.col("name")))
+    joined = groups.join(taken.hint("merge"), (F.col("s") == F.col("source_no")) & F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("digest")), "left")
+    each = joined.withColumn("all_taken", F.coalesce("all_taken", F.lit(0))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    own = F.floor(F.col("all_taken") / F.col("copies")) + F.when(F.col("copy") <= F.col("all_taken") % F.col("copies"), 1).otherwise(0)
+    return each.select("doc_id", "source", "size", "source_size", "target", own.cast("long").alias("taken"))
+
+
+def mix_blocks(docs: DataFrame, *, block_words: int = 32, cap: float = 3.0, seed: int = 17, weights=default_weights, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix itself: shard, slot, source, epoch, block and the block's words, one row per slot."""
-    return _blocks(plan_mix(docs, block_words=block_words, **options), docs, block_words).drop("source_no", "parts")
-
-
-def _blocks(plan: Mix, docs: DataFrame, block_words: int) -> DataFrame:
-    """The mix, with its parts: the offset of each document in a block, and how many words were written of it."""
-    # texts and not arrays of words go through the shuffles, as these take a multiple of the space
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("g"), "text").dropDuplicates(["d", "g"])
-    placed = plan.sized.where("size > 0").join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
-    pieces = _pieces(placed.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), block_words, "source", "words")
-    own = F.array_join(F.slice("words", F.col("first").cast("int") + 1, F.col("count").cast("int")), " ")
-    # grouped by the keys of the join below, so that both share one shuffle
-    packed = pieces.select("source_no", "source", "block", F.struct("offset", "count", own.alias("text")).alias("part")).groupBy("source_no", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list("part")).alias("parts"))
-    parts = F.transform("parts", lambda x: F.struct(x.offset.alias("offset"), x["count"].alias("count")))
-    filled = packed.select("source_no", "source", "block", F.array_join("parts.text", " ").alias("text"), parts.alias("parts"))
-    # the slots are expanded from few rows: Spark takes them for small
-    return plan.slots.hint("merge").join(filled.hint("merge"), ["source_no", "block"]).select("shard", "slot", "source_no", "source", "epoch", "block", "text", "parts")
+    sized = doc_sizes(docs)
+    stats = source_stats(sized, cap=cap, weights=weights)
+    return _blocks(docs, sized, stats, block_words=block_words, cap=cap, seed=seed, shard_slots=shard_slots).select("shard", "slot", "source", "epoch", "block", "text")

@@ -350,13 +350,14 @@ def test_source_targets():
 def test_permutations_and_draws():
     import numpy as np
 
-    from sievelight.llm.mixing import permuted, shard_draws
+    from sievelight.llm.mixing import permuted, residual_draws
 
     for n in (1, 2, 3, 17, 1000):
         assert sorted(permuted(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))) == list(range(n))
-    quota = np.array([100, 0, 3000, 7])
-    drawn = shard_draws(quota, 9, 1)
-    assert (drawn.sum(0) == quota).all() and (drawn >= 0).all() and np.ptp(drawn.sum(1)) <= 1 + quota.sum() % 9
+    expected, most = np.array([100.25, 0.0, 3000.0, 7.5, 0.75]), np.array([300, 0, 3000, 8, 2])
+    drawn = np.stack([residual_draws(expected, most, np.random.default_rng(i)) for i in range(2_000)])
+    assert (drawn >= np.floor(expected)).all() and (drawn <= most).all() and (drawn[:, [1, 2]] == [0, 3000]).all()
+    assert np.ptp(drawn.sum(1)) <= 2 and np.abs(drawn.mean(0) - expected).max() < 0.1
 
 
 def test_mix(spark):
