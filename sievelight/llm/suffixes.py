@@ -3,11 +3,13 @@
 A string of ``length`` bytes holds an anchor: of the hashes of its inner ``gram``-byte strings the
 least, the first of equal ones. Equal strings have it at the same place, so suffixes need only be
 compared where anchors are equal, which is a hundredth of all. Anchors whose whole surroundings
-recur are settled by counting. The surroundings of the others, one of each kind, are sorted as
-suffixes, forwards and backwards: a mergesort whose comparisons find the common extension by
-binary search over prefix polynomial hashes. Common prefixes of neighbours give, for every
-offset, the classes of equal strings; what is found is verified byte by byte. Groups too large
-for one task are counted by hash, offset by offset, instead.
+recur, told by a 128-bit cryptographic digest of their bytes, are settled by counting. The
+surroundings of the others, one of each kind, are sorted as suffixes, forwards and backwards: a
+mergesort whose comparisons find the common extension by binary search over prefix polynomial
+hashes. Common prefixes of neighbours give, for every offset, the classes of equal strings; what
+is found is verified byte by byte. The offsets of a group that is too large for one task are
+halved, again and again: strings at either half of them have a longer core in common, and by the
+core the group falls apart.
 
 Cases: a null text is empty; a text shorter than ``length`` loses nothing; repeated rows are
 documents of their own, and so is a row with a null doc_id; an empty table gives no rows; extra
@@ -30,9 +32,9 @@ from sievelight.llm.scratch import Scratch
 SEGMENT = 1 << 18
 #: Bits of an anchor's place in the key that orders hashes and places; the rest are the hash's.
 PLACE = np.uint64(23)
-#: Kinds of surroundings of one anchor up to which one task compares them.
-GROUP_ROWS = 20_000
-BATCH_ROWS = 8_000
+#: Kinds of surroundings of one anchor up to which they are sorted at once, and rows that are sorted at once besides.
+GROUP_ROWS = 8_000
+BATCH_ROWS = 2_000
 
 
 def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +46,14 @@ def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down
 
 
+def digest(raw: bytes, *place: int) -> bytes:
+    """128 bits of BLAKE2 of some bytes and of where they stand."""
+    return hashlib.blake2b(raw, digest_size=16, salt=b"".join(p.to_bytes(4, "little") for p in place)).digest()
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors of texts that lie end to end, the hashes of their grams, and of their surroundings."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    """Places of the anchors of texts that lie end to end, the hashes of their grams, and digests of their surroundings (two columns)."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     n, span = len(data), length - gram + 1
     if n < length:
         return none
@@ -74,13 +81,13 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     owner = np.searchsorted(ends, place, "right") - 1
     lo = np.maximum(ends[owner], place - (length - gram))
     hi = np.minimum(ends[owner + 1], place + length)
-    with np.errstate(over="ignore"):
-        around = mix((total[hi] - total[lo]) * down[lo] + ((place - lo) * 4_096 + (hi - place)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return place, grams[place], around
+    raw = data.tobytes()
+    around = b"".join([digest(raw[i:j], p - i, j - p) for i, p, j in zip(lo.tolist(), place.tolist(), hi.tolist(), strict=True)])
+    return place, grams[place], np.frombuffer(around, np.int64).reshape(-1, 2)
 
 
 def find_anchors(base: DataFrame, length: int, gram: int) -> DataFrame:
-    """g (of the gram), c (of the surroundings), row and pos of every anchor of ``base`` (row, text)."""
+    """g (of the gram), c and d (of the surroundings), row and pos of every anchor of ``base`` (row, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +95,9 @@ def find_anchors(base: DataFrame, length: int, gram: int) -> DataFrame:
                 place, g, c = anchors(data, ends, length, gram)
                 owner = np.searchsorted(ends, place, "right") - 1
                 rows = batch.column(0).slice(first, end - first).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(rows[owner]), pa.array((place - ends[owner]).astype(np.int32))], ["g", "c", "row", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(rows[owner]), pa.array((place - ends[owner]).astype(np.int32))], ["g", "c", "d", "row", "pos"])
 
-    return base.select("row", "text").mapInArrow(find, "g long, c long, row long, pos int")
+    return base.select("row", "text").mapInArrow(find, "g long, c long, d long, row long, pos int")
 
 
 def common_extension(sums: np.ndarray, x: np.ndarray, y: np.ndarray, limit: np.ndarray, middle: int, way: int) -> np.ndarray:
@@ -144,10 +151,10 @@ class Suffixes:
         return order
 
 
-def covered(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, lowest: np.ndarray, highest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest offset o, for each row, such that the string from o before its middle is also at that offset of another row of its group; -1 if none.
 
-    ``rows``: bytes around the middle (``left`` and ``right`` of them are the text's).
+    ``rows``: bytes around the middle (``left`` and ``right`` of them are the text's). Offsets from ``lowest`` to ``highest`` only.
     """
     n, middle = rows.shape[0], rows.shape[1] - length
     least, most = np.full(n, -1), np.full(n, -1)
@@ -155,7 +162,10 @@ def covered(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.nda
     up, _ = powers(rows.shape[1])
     sums = np.zeros((n, rows.shape[1] + 1), np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_CODE[rows] * up[: rows.shape[1]], axis=1, out=sums[:, 1:])
+        for at in range(0, n, 500):
+            part = BYTE_CODE[rows[at : at + 500]]
+            part *= up[: rows.shape[1]]
+            np.cumsum(part, axis=1, out=sums[at : at + 500, 1:])
     orders, common = [], []
     for reach, way in ((right, 1), (left, -1)):
         s = Suffixes(group, rows, sums, reach, middle, way)
@@ -163,7 +173,7 @@ def covered(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.nda
         orders.append(order)
         common.append(s.common(order[:-1], order[1:]) if n > 1 else np.zeros(0, np.int64))
     for o in range(middle + 1):
-        own = np.flatnonzero((left >= o) & (right >= length - o))
+        own = np.flatnonzero((left >= o) & (right >= length - o) & (lowest <= o) & (highest >= o))
         if len(own) < 2:
             continue
         classes = np.zeros(n, np.int64)
@@ -181,33 +191,62 @@ def covered(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.nda
     return least, most
 
 
-def _surroundings(base: DataFrame, kinds: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
-    """g, row, pos, alone and the bytes around one anchor of each kind, with how many of them are left and right of it."""
-    listed = kinds.groupBy("row").agg(F.collect_list(F.struct("g", "pos", "alone", "many")).alias("at"))
+AROUND = "g long, row long, pos int, alone boolean, l int, r int, bytes binary, lowest int, highest int"
+AROUND_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+
+
+def _surroundings(base: DataFrame, kinds: DataFrame, length: int, gram: int) -> DataFrame:
+    """g, row, pos, alone and the bytes around one anchor of each kind, with how many of them are left and right of it, and the offsets to look at."""
+    listed = kinds.groupBy("row").agg(F.collect_list(F.struct("g", "pos", "alone")).alias("at"))
     joined = base.select("row", "text").join(listed, "row").select("row", "text", "at")
     side = length - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for row, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py().encode()
                 for x in at.as_py():
                     a = x["pos"]
                     l, r = min(side, a), min(length, len(raw) - a)
-                    for column, value in zip(out, (x["g"], row, a, x["alone"], x["many"], l, r, raw[a - l : a + r]), strict=True):
+                    for column, value in zip(out, (x["g"], row, a, x["alone"], l, r, raw[a - l : a + r]), strict=True):
                         column.append(value)
                 if len(out[0]) > 5_000:
                     yield pack(out)
-                    out = [[] for _ in range(8)]
+                    out = [[] for _ in range(7)]
             if out[0]:
                 yield pack(out)
 
     def pack(out: list[list]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["g", "row", "pos", "alone", "many", "l", "r", "bytes"])
+        out = [*out, [0] * len(out[0]), [side] * len(out[0])]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, AROUND_TYPES, strict=True)], ["g", "row", "pos", "alone", "l", "r", "bytes", "lowest", "highest"])
+
+    return joined.mapInArrow(cut, AROUND)
 
-    return scratch.save(joined.mapInArrow(cut, "g long, row long, pos int, alone boolean, many boolean, l int, r int, bytes binary"), "surroundings")
+
+def _halved(around: DataFrame, length: int) -> DataFrame:
+    """``around`` once for each half of its offsets, grouped (g) by the core that strings at these have in common, with digests (c, d) of all that they hold."""
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, keys, ranges = [], [], []
+            given = zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("g", "l", "r", "bytes", "lowest", "highest")), strict=True)
+            for i, (g, l, r, raw, low, high) in enumerate(given):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    if max(a, length - r) > min(b, l):
+                        continue  # no string of this row is at these offsets
+                    begin, end = max(0, l - b), min(len(raw), l + length - a)
+                    core = digest(raw[l - a : l + length - b], a, b)
+                    keys.append(hashlib.blake2b(core, digest_size=8, key=g.to_bytes(8, "little", signed=True)).digest() + digest(raw[begin:end], l - begin, end - l))
+                    take.append(i)
+                    ranges.append((a, b))
+            number = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 3)
+            kept = batch.take(pa.array(take, pa.int64()))
+            low, high = (pa.array([x[k] for x in ranges], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(number[:, 0]), *kept.columns[1:7], low, high, pa.array(number[:, 1]), pa.array(number[:, 2])], ["g", "row", "pos", "alone", "l", "r", "bytes", "lowest", "highest", "c", "d"])
+
+    return around.mapInArrow(halve, AROUND + ", c long, d long")
 
 
 def _matrix(batch: pa.RecordBatch, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +288,7 @@ def _compared(around: DataFrame, length: int, gram: int) -> DataFrame:
             part = whole.slice(bounds[at], bounds[to] - bounds[at])
             at = to
             rows, left, right = _matrix(part, length, gram)
-            least, most = covered(part.column("g").to_numpy(), rows, left, right, length)
+            least, most = covered(part.column("g").to_numpy(), rows, left, right, length, part.column("lowest").to_numpy(), part.column("highest").to_numpy())
             keep = (least >= 0) & part.column("alone").to_numpy(zero_copy_only=False)
             pos = part.column("pos").to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("row").filter(pa.array(keep)), pa.array((pos - most)[keep]), pa.array((pos - least + length)[keep])], ["row", "lo", "hi"])
@@ -258,48 +297,32 @@ def _compared(around: DataFrame, length: int, gram: int) -> DataFrame:
     return around.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(settle, "row long, lo long, hi long")
 
 
-def _counted(around: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for groups of any size: strings are counted by hash, offset by offset."""
-    side = length - gram
-
-    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows, left, right = _matrix(part, length, gram)
-                up, down = powers(rows.shape[1])
-                sums = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
-                with np.errstate(over="ignore"):
-                    np.cumsum(BYTE_CODE[rows] * up[: rows.shape[1]], axis=1, out=sums[:, 1:])
-                    start = side - np.arange(side + 1)
-                    h = mix((sums[:, start + length] - sums[:, start]) * down[start]).view(np.int64)
-                o = np.arange(side + 1)[None, :]
-                i, k = np.nonzero((left[:, None] >= o) & (right[:, None] >= length - o))
-                take = lambda name: part.column(name).take(pa.array(i))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([take("g"), take("row"), take("pos"), take("alone"), pa.array(k.astype(np.int32)), pa.array(h[i, k])], ["g", "row", "pos", "alone", "o", "h"])
-
-    found = around.mapInArrow(offsets, "g long, row long, pos int, alone boolean, o int, h long")
-    twice = found.groupBy("g", "o", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.where("alone").join(twice, ["g", "o", "h"]).groupBy("row", "pos").agg(F.max("o").alias("most"), F.min("o").alias("least")).select("row", (F.col("pos") - F.col("most")).cast("long").alias("lo"), (F.col("pos") - F.col("least") + length).cast("long").alias("hi"))
-
-
 def repeated_bytes(base: DataFrame, *, length: int, gram: int, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Intervals (row, lo, hi) of ``base`` (row, text) that strings of ``length`` bytes which recur cover; hi may pass the end."""
     found = scratch.save(find_anchors(base, length, gram), "anchors")
-    shared = scratch.save(found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("g", (F.col("c1") != F.col("c2")).alias("differ")), "shared")
+    differ = (F.min("c") != F.max("c")) | (F.min("d") != F.max("d"))
+    shared = scratch.save(found.groupBy("g").agg(F.count("*").alias("n"), differ.alias("differ")).where("n > 1").drop("n"), "shared")
     again = scratch.save(found.join(shared, "g"), "again")
     scratch.drop(found)
-    side = length - gram
-    whole = lambda df: df.select("row", (F.col("pos") - side).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
-    differ = again.where("differ")
-    kinds = scratch.save(differ.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")), "kinds")
-    several = scratch.save(kinds.where("n > 1").select("g", "c"), "several")
-    sizes = kinds.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > group_rows).select("g")
-    large = scratch.save(sizes, "large")
-    listed = kinds.select("g", "first.row", "first.pos", (F.col("n") == 1).alias("alone")).join(large.withColumn("many", F.lit(True)), "g", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    around = _surroundings(base, listed, length, gram, scratch)
-    out = whole(again.where("not differ")).unionByName(whole(differ.join(several, ["g", "c"]))).unionByName(_compared(around.where("not many"), length, gram))
-    return out.unionByName(_counted(around.where("many"), length, gram)) if large.limit(1).count() else out
+    whole = lambda df: df.select("row", (F.col("pos") - (length - gram)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
+    kinds = scratch.save(again.where("differ").groupBy("g", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")), "kinds")
+    several = scratch.save(kinds.where("n > 1").select("g", "c", "d"), "several")
+    out = whole(again.where("not differ")).unionByName(whole(again.where("differ").join(several, ["g", "c", "d"])))
+    around = scratch.save(_surroundings(base, kinds.select("g", "first.row", "first.pos", (F.col("n") == 1).alias("alone")), length, gram), "surroundings")
+    while True:
+        large = scratch.save(around.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > group_rows).select("g"), "large")
+        if not large.limit(1).count():
+            return out.unionByName(_compared(around, length, gram))
+        out = out.unionByName(_compared(around.join(large, "g", "left_anti"), length, gram))
+        halves = scratch.save(_halved(around.join(large, "g", "left_semi"), length), "halves")
+        # at these offsets equal rows are settled; one of them stays for the others
+        own = halves.groupBy("g", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first"))
+        judged = halves.join(scratch.save(own, "equal"), ["g", "c", "d"])
+        low, high = F.greatest(F.col("lowest"), length - F.col("r")), F.least(F.col("highest"), F.col("l"))
+        settled = judged.where("n > 1 AND alone").select("row", (F.col("pos") - high).cast("long").alias("lo"), (F.col("pos") - low + length).cast("long").alias("hi"))
+        out = out.unionByName(settled)
+        one = judged.where((F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos")))
+        around = scratch.save(one.withColumn("alone", F.col("alone") & (F.col("n") == 1)).select(*around.columns), "surroundings")
 
 
 def cut_repeats(docs: DataFrame, *, length: int = 400, gram: int = 200, scratch: Scratch | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
