@@ -60,6 +60,10 @@ class Scratch:
             for file in df.inputFiles()[:1]:
                 self.delete(file.rsplit("/", 1)[0])
 
+    def free(self) -> None:
+        """Have Spark delete the shuffle files of what is written: it does so once the driver has collected its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def delete(self, path: str) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
