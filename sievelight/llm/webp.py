@@ -1,8 +1,8 @@
-"""Lossless WebP (VP8L) in numpy: a full decoder, and an encoder of plain byte images.
+"""Lossless WebP (VP8L): a full decoder of one image, symbol by symbol.
 
-The decoder reads prefix codes, back-references and the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. A plain image whose four codes give every
-literal eight bits is decoded without a loop; anything else symbol by symbol.
+It reads prefix codes, also by region, back-references and the colour cache, and inverts the
+predictor, cross-colour, subtract-green and palette transforms. ``webpbatch`` has the encoder, and
+a decoder of many images at once that shares the heads and the transforms with this one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 
-REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+#: Order of code lengths of code lengths: fixed by the format.
 ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 MAX_SIDE = 16_383
 
@@ -39,6 +39,12 @@ class Bits:
         self.have -= n
         return out
 
+    def peek(self) -> int:
+        """The next bits, at least 15 of them."""
+        while self.have < 15:
+            self.fill()
+        return self.value
+
     def position(self) -> int:
         return 8 * self.at - self.have
 
@@ -48,8 +54,8 @@ class Code:
 
     def __init__(self, lengths: list[int]):
         used = [(n, s) for s, n in enumerate(lengths) if n]
+        self.lengths = lengths
         self.only = used[0][1] if len(used) == 1 else None
-        self.flat8 = lengths[:256] == [8] * 256 and not any(lengths[256:])
         self.table: dict[tuple[int, int], int] = {}
         code, last = 0, 0
         for n, s in sorted(used):
@@ -111,6 +117,7 @@ def prefixed(bits: Bits, symbol: int) -> int:
 
 @cache
 def near() -> list[tuple[int, int]]:
+    """Places of the first 120 distances, left and up of a pixel: fixed by the format."""
     text = (
         "0,1 1,0 1,1 -1,1 0,2 2,0 1,2 -1,2 2,1 -2,1 2,2 -2,2 0,3 3,0 1,3 -1,3 3,1 -3,1 2,3 -2,3 3,2 -3,2 0,4 4,0 1,4 -1,4 4,1 -4,1 3,3 -3,3 2,4 -2,4 4,2 -4,2 0,5 3,4 -3,4 4,3 -4,3 5,0 1,5 -1,5 5,1 -5,1 "
         "2,5 -2,5 5,2 -5,2 4,4 -4,4 3,5 -3,5 5,3 -5,3 0,6 6,0 1,6 -1,6 6,1 -6,1 2,6 -2,6 6,2 -6,2 4,5 -4,5 5,4 -5,4 3,6 -3,6 6,3 -6,3 0,7 7,0 1,7 -1,7 5,5 -5,5 7,1 -7,1 4,6 -4,6 6,4 -6,4 2,7 -2,7 7,2 -7,2 "
@@ -127,8 +134,6 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         region_bits = bits.read(3) + 2
         regions = (read_pixels(bits, (width + (1 << region_bits) - 1) >> region_bits, (height + (1 << region_bits) - 1) >> region_bits, False) >> 8) & 0xFFFF
     groups = [[read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(1 + (int(regions.max()) if regions is not None else 0))]
-    if regions is None and not cache_bits and all(c.flat8 for c in groups[0][:4]):
-        return _flat(bits, width, height)
     total, out, at, kept = width * height, [0] * (width * height), 0, [0] * (1 << cache_bits)
     across = (width + (1 << region_bits) - 1) >> region_bits if region_bits else 0
     flat_regions = regions.ravel().tolist() if regions is not None else []
@@ -158,19 +163,7 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32).reshape(height, width)
 
 
-def _flat(bits: Bits, width: int, height: int) -> np.ndarray:
-    begin, n = bits.position(), 4 * width * height
-    first, shift = begin >> 3, begin & 7
-    raw = np.frombuffer(bits.data, np.uint8)[first : first + n + 1]
-    if len(raw) < n + (shift > 0):
-        raise ValueError("the image is cut short")
-    grba = REVERSED[(raw[:n] >> shift | raw[1 : n + 1] << (8 - shift)) if shift else raw[:n]].reshape(-1, 4)
-    bgra = np.empty_like(grba)
-    bgra[:, 0], bgra[:, 1], bgra[:, 2], bgra[:, 3] = grba[:, 2], grba[:, 0], grba[:, 1], grba[:, 3]
-    return bgra.view("<u4").reshape(height, width)
-
-
-def _channels(argb: np.ndarray) -> np.ndarray:
+def channels(argb: np.ndarray) -> np.ndarray:
     """(height, width, 4) bytes as alpha, red, green, blue."""
     return np.ascontiguousarray(argb.astype(">u4")).view(np.uint8).reshape(*argb.shape, 4)
 
@@ -199,7 +192,15 @@ def predicted(mode: int, left, up, up_right, up_left):
 
 def unpredict(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
     height, width = argb.shape
-    out, mode = _channels(argb).astype(int).tolist(), _spread((modes >> 8) & 0xF, bits, height, width).tolist()
+    kinds = np.unique((modes >> 8) & 0xF).tolist()
+    if kinds in ([1], [2]):  # sums along the rows, or along the columns
+        c = channels(argb).copy()
+        c[0, 0, 0] -= 1  # the first is predicted as opaque black: 255 more
+        edge = c[:, 0] if kinds == [1] else c[0]
+        np.cumsum(edge, axis=0, dtype=np.uint8, out=edge)
+        np.cumsum(c, axis=1 if kinds == [1] else 0, dtype=np.uint8, out=c)
+        return np.ascontiguousarray(c).view(">u4")[..., 0].astype(np.uint32)
+    out, mode = channels(argb).astype(int).tolist(), _spread((modes >> 8) & 0xF, bits, height, width).tolist()
     for y in range(height):
         for x in range(width):
             if x and y:
@@ -213,7 +214,7 @@ def unpredict(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def uncross(argb: np.ndarray, factors: np.ndarray, bits: int) -> np.ndarray:
-    c, f = _channels(argb), _channels(_spread(factors, bits, *argb.shape))
+    c, f = channels(argb), channels(_spread(factors, bits, *argb.shape))
     signed = lambda x: x.astype(np.int8).astype(np.int32)
     red_blue, green_blue, green_red = signed(f[..., 1]), signed(f[..., 2]), signed(f[..., 3])
     green = signed(c[..., 2])
@@ -236,17 +237,27 @@ def unindex(argb: np.ndarray, palette: np.ndarray, bits: int, width: int) -> np.
     return np.concatenate([palette, np.zeros(256, np.uint32)])[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(height, width, 4) bytes as red, green, blue, alpha."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
+def chunk_of(data: bytes) -> bytes:
+    """The VP8L chunk of a file."""
+    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or len(data) < 25:
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
-    bits = Bits(data[20 : 20 + size])
+    if len(data) < 20 + size:
+        raise ValueError("the file is cut short")
+    return data[20 : 20 + size]
+
+
+def read_size(bits: Bits) -> tuple[int, int]:
     if bits.read(8) != 0x2F:
         raise ValueError("no VP8L signature")
     width, height, _, version = bits.read(14) + 1, bits.read(14) + 1, bits.read(1), bits.read(3)
     if version:
         raise ValueError("an unknown version")
+    return width, height
+
+
+def read_transforms(bits: Bits, width: int, height: int) -> tuple[list, int]:
+    """What is to be undone after the pixels are read (last first), and the width that they are coded in."""
     undo, coded = [], width
     while bits.read(1):
         kind = bits.read(2)
@@ -258,14 +269,22 @@ def decode(data: bytes) -> np.ndarray:
             undo.append((ungreen, ()))
         else:
             count = bits.read(8) + 1
-            table = np.cumsum(_channels(read_pixels(bits, count, 1, False)[0]), axis=0, dtype=np.uint8).astype(np.uint32)
+            table = np.cumsum(channels(read_pixels(bits, count, 1, False)[0]), axis=0, dtype=np.uint8).astype(np.uint32)
             packed = 3 if count <= 2 else 2 if count <= 4 else 1 if count <= 16 else 0
             undo.append((unindex, (table[:, 0] << 24 | table[:, 1] << 16 | table[:, 2] << 8 | table[:, 3], packed, coded)))
             coded = (coded + (1 << packed) - 1) >> packed
+    return undo, coded
+
+
+def decode(data: bytes) -> np.ndarray:
+    """(height, width, 4) bytes as red, green, blue, alpha."""
+    bits = Bits(chunk_of(data))
+    width, height = read_size(bits)
+    undo, coded = read_transforms(bits, width, height)
     argb = read_pixels(bits, coded, height, True)
     for f, arguments in reversed(undo):
         argb = f(argb, *arguments)
-    return _channels(argb)[..., [1, 2, 3, 0]]
+    return channels(argb)[..., [1, 2, 3, 0]]
 
 
 class Writer:
@@ -277,50 +296,8 @@ class Writer:
         self.size += n
 
 
-@cache
-def _head() -> tuple[int, int]:
-    """The bits between an image's size and its pixels, where each code has 256 literals of eight bits: value and count."""
-    w = Writer()
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    for size in (280, 256, 256, 256):
-        w.put(0, 1)
-        inner = {8: 1, 16: 1} if size == 256 else {16: 1, 18: 1}
-        count = 12 if size == 256 else 9
-        w.put(count - 4, 4)
-        for s in ORDER[:count]:
-            w.put(inner.get(s, 0), 3)
-        w.put(0, 1)
-        if size == 256:
-            w.put(0, 4)  # four times the length 8
-            for _ in range(42):
-                w.put(1 | 3 << 1, 3)  # six more times
-        else:
-            for n in [6] * 42 + [4]:
-                w.put((n - 3) << 1, 3)  # first in canonical order; eight is what is repeated at the start
-            w.put(1 | (24 - 11) << 1, 8)
-    w.put(1, 1)  # the distance code has one symbol
-    w.put(0, 3)
-    return w.value, w.size
-
-
 def encode(pixels: np.ndarray) -> bytes:
-    """(height, width, 4) bytes as red, green, blue, alpha, as a plain lossless WebP file."""
-    height, width, _ = pixels.shape
-    value, size = _head()
-    whole = 0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36 | value << 40
-    size += 40
-    lead, shift = size >> 3, size & 7
-    flat = pixels.reshape(-1, 4)
-    grba = np.empty(flat.shape, np.uint8)
-    grba[:, 0], grba[:, 1], grba[:, 2], grba[:, 3] = flat[:, 1], flat[:, 0], flat[:, 2], flat[:, 3]
-    coded = REVERSED[grba.ravel()]
-    n = lead + len(coded) + (shift > 0)
-    out = np.zeros(n + n % 2, np.uint8)
-    if shift:
-        out[lead : lead + len(coded)] = coded << shift
-        out[lead + 1 : lead + 1 + len(coded)] |= coded >> (8 - shift)
-    else:
-        out[lead : lead + len(coded)] = coded
-    start = np.frombuffer(whole.to_bytes(lead + 1, "little"), np.uint8)
-    out[: lead + 1 if shift else lead] |= start[: lead + 1 if shift else lead]
-    return b"RIFF" + struct.pack("<I", 12 + n + n % 2) + b"WEBPVP8L" + struct.pack("<I", n) + out.tobytes()
+    """(height, width, 4) bytes as red, green, blue, alpha, as a lossless WebP file."""
+    from sievelight.llm.webpbatch import encode_many
+
+    return encode_many([pixels])[0]
