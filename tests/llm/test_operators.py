@@ -180,6 +180,37 @@ def test_near_passages_after_earlier_variants(spark):
     assert got <= truth and {x for x, _ in got} == {x for x, _ in truth}
 
 
+def test_passages_are_verified_over_their_union_and_found_within_a_text(spark):
+    from sievelight.llm.passages import near_passages
+
+    often = "w " * 60
+    rarely = " ".join(f"{prose(20, 300 + i)} w" for i in range(5)) + " " + prose(20, 309)
+    shared = prose(60, 310)
+    twice = f"{prose(30, 311)} {shared} {prose(40, 312)} {shared} {prose(30, 313)}"
+    rows = [tuple(r) for r in near_passages(docs_of(spark, [rarely, often, twice])).collect()]
+    assert {(a, b) for a, b, *_ in rows} <= {(1, 1), (2, 2)}  # a word said again is near itself, but not near other words
+    found = [r for r in rows if r[0] == 2]
+    assert found and min(r[2] for r in found) >= 130 - 16 and all(abs(r[2] - r[4] - 100) <= 1 for r in found)
+
+
+@pytest.mark.parametrize("kind", ["changed", "put in", "left out"])
+@pytest.mark.parametrize("place", [3, 20, 47])
+def test_a_passage_with_one_edit_is_found_from_every_seed(kind, place):
+    import numpy as np
+
+    from sievelight.llm import passages
+
+    edited = prose(50, 1).split()
+    edited[place : place + (kind != "put in")] = [] if kind == "left out" else ["zz"]
+    x, y = passages.shingles_of([f"{prose(30, 5)} {prose(50, 1)} {prose(30, 6)}", f"{prose(10, 7)} {' '.join(edited)} end of it {prose(30, 8)}"], 5)
+    at = {k: i for i, k in enumerate(y.tolist())}
+    for i, k in enumerate(x.tolist()):
+        if k in at:
+            seed = np.array([[0, max(0, i - 60), i, i + 60, max(0, at[k] - 60), at[k], at[k] + 60]])
+            assert passages.verified_passages(x, y, seed, 46, 80, 1, False)
+            assert not passages.verified_passages(x, y, seed, 46, 80, 2, False)
+
+
 def test_compact_windows_against_all_subsequences():
     import numpy as np
 
