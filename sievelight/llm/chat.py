@@ -7,7 +7,7 @@ so no control string of this template or of another survives inside a text, and
 be parsed and unescaped exactly.
 
 Cases: a null text or role is empty; a part of an unknown type is an empty text; turns are in
-the order of turn, then role, then text (nulls first); repeated rows are turns of their own; a
+the order of turn, then role, then text as it was before escaping (nulls first); repeated rows are turns of their own; a
 null conv_id is a conversation; an empty table gives no conversation; extra columns are ignored.
 """
 
@@ -60,7 +60,8 @@ def format_chat(turns: DataFrame, *, learn: str = "assistant") -> DataFrame:
     head = F.concat(F.lit(OPEN), F.replace(escape(role), F.lit("\n"), F.lit("~3")), F.lit("\n"))
     flat = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), visit(F.col("parts")).alias("body"), head.alias("head"), attachments(F.col("parts")).alias("attached")).alias("t"))
     # where each turn begins; this window and the grouping below share one shuffle
-    before = Window.partitionBy("conv_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    order = ("t.turn", "t.role", unescape(F.col("t.body")), "t.body", F.to_json("t.attached"))
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("t.head") + F.length("t.body") + len(CLOSE)
     placed = flat.withColumn("begun", F.coalesce(F.sum(size).over(before), F.lit(0)))
     one = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("begun", "t"))).alias("ts"))

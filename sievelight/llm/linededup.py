@@ -12,7 +12,7 @@ holds so many words is deleted too; then every depth below ``min_lines`` is rank
 Cases: a null text has no lines and stays null; an empty text is one empty line; a document of
 fewer than ``min_lines`` lines loses nothing; repeated rows are documents of their own, of which
 the later one loses its lines; a null doc_id comes last; an empty table gives no rows; columns
-other than text are kept as they are.
+other than text are kept as they are, but ``dedup_lines`` leaves out those named as its counts.
 """
 
 from __future__ import annotations
@@ -71,8 +71,22 @@ def later_runs(lines: DataFrame, min_lines: int, min_words: int | None, scratch:
     return runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs")).select("row", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends"))
 
 
-def dedup_lines(docs: DataFrame, *, min_lines: int = 3, min_words: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+COUNTS = ["n_lines", "n_removed", "n_runs"]
+
+
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text, ...) with text without its repeated runs, and n_lines, n_removed, n_runs."""
+    return _deduped(docs, **options).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in COUNTS], *COUNTS)
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with text without its repeated runs; those that consist of such runs only go."""
+    left = _deduped(docs, **options).where("n_removed = 0 OR n_removed < n_lines")
+    return left.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def _deduped(docs: DataFrame, *, min_lines: int = 3, min_words: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """doc (a struct of the columns, text without its repeated runs) and the counts."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     own = [f"`{c}`" for c in docs.columns]
     base = scratch.save(docs.select(F.struct(*own).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -87,4 +101,4 @@ def dedup_lines(docs: DataFrame, *, min_lines: int = 3, min_words: int | None =
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
     text = F.when(F.col("starts").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*columns, F.when(F.col("doc.text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_runs"))
+    return joined.select(F.struct(*columns).alias("doc"), F.when(F.col("doc.text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_runs"))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.llm.bytewords import LOWER, NOT_SPACE, chunks, mix, ngrams, split_words
@@ -101,13 +101,13 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set), regs and bands (a bucket key for each)."""
-    schema = "doc_id long, n_shingles long, cls binary, regs binary, bands array<long>"
+    """doc_id, text_hash, n_shingles, cls (digest of the set), regs and bands (a bucket key for each)."""
+    schema = "doc_id long, text_hash long, n_shingles long, cls binary, regs binary, bands array<long>"
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = np.empty((512, REGISTERS), np.uint32)
         for batch in batches:
-            for first, end, data, ends in chunks(batch.column(1)):
+            for first, end, data, ends in chunks(batch.column(2)):
                 least, sizes, digests = np.zeros((end - first, REGISTERS), np.uint32), [], []
                 with np.errstate(over="ignore"):
                     for i, shingles in enumerate(document_shingles(data, ends, size)):
@@ -118,10 +118,11 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                 bands = mix((regs.astype(np.uint64).reshape(-1, BANDS, ROWS) * _BAND).sum(2, dtype=np.uint64) + _ROW)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), keys], ["doc_id", "n_shingles", "cls", "regs", "bands"]
+                    [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), keys],
+                    ["doc_id", "text_hash", "n_shingles", "cls", "regs", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(sketch, schema)
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -347,8 +348,35 @@ def spread_labels(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> Data
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and kept, one row per document."""
+    return near_groups(docs, **options).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``docs`` with one row of each component: that with the least doc_id (null last), of equal ones that with the least hash of its text.
+
+    Rows without words all stay. Of rows with one doc_id and text that stays, the least by its other columns (as JSON) does.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    groups = near_groups(docs, scratch=scratch, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    firsts = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    keys = firsts.select("first.doc_id", "first.text_hash", F.lit(True).alias("one")).unionByName(groups.where("component IS NULL").select("doc_id", "text_hash", F.lit(False).alias("one")).distinct())
+    keys = scratch.save(keys.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "one"), "keys")
+    again = scratch.save(groups.where("component IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")), "again")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    here = lambda keys: F.col("doc.doc_id").cast("long").eqNullSafe(keys["kept_id"]) & (F.xxhash64("doc.text") == keys["kept_hash"])
+    kept = given.join(keys, here(keys), "left_semi")
+    if again.limit(1).count():  # rows that share an id and a text: few, or the corpus repeats itself
+        place = Window.partitionBy("doc.doc_id", F.xxhash64("doc.text")).orderBy(F.to_json("doc"))
+        repeated = kept.join(again, here(again), "left_semi").withColumn("copy", F.row_number().over(place)).where("copy = 1").select("doc")
+        kept = kept.join(again, here(again), "left_anti").unionByName(repeated)
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def near_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and component (its key, null of a document without words), one row per document."""
     scratch = scratch or Scratch(docs.sparkSession, "near")
     sketches = scratch.save(sketch_documents(docs, size), "sketches")
     filled = sketches.where("n_shingles > 0")
@@ -387,12 +415,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, scratc
     # null ids name a component only where it has no other
     linked = labels.join(known.select("cid", "cls", "rep"), "cid")
     least = scratch.save(linked.groupBy("label").agg(F.min("rep").alias("least_id")), "least")
-    named = linked.join(least, "label").select(F.col("cls").alias("c"), "least_id")
-    ids = classes.join(named.hint("merge"), F.col("cls") == F.col("c"), "left").select("cls", F.coalesce("least_id", "rep").alias("component_id"))
-    filled = sketches.where("n_shingles > 0").select("doc_id", "n_shingles", "cls").join(scratch.save(ids, "ids"), "cls")
-    empty = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = filled.select("doc_id", "n_shingles", "component_id").unionByName(empty)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = linked.join(least, "label").select(F.col("cls").alias("c"), "least_id", F.col("label").cast("string").alias("label"))
+    ids = classes.join(named.hint("merge"), F.col("cls") == F.col("c"), "left").select("cls", F.coalesce("least_id", "rep").alias("component_id"), F.coalesce("label", F.hex("cls")).alias("component"))
+    filled = sketches.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "cls").join(scratch.save(ids, "ids"), "cls").drop("cls")
+    empty = sketches.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("component"))
+    return filled.unionByName(empty)
 
 
 def _of_class(found: DataFrame, size: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 An archive is a real WARC/1.0 file, written by Spark's text writer (every record ends with two
 line ends, which serve as the line separator) into any file system, and read again as whole
-files, record by record after Content-Length. Headers alone are shuffled by payload digest.
+files, record by record after Content-Length. Headers are shuffled by payload digest; digests that
+repeat are then broadcast to the records, or, beyond ``BROADCAST_ROWS`` of them, shuffled with these.
 
 Cases: a null payload is empty; equal payloads of fewer than ``least`` bytes are all responses;
 of equal payloads the smallest page_id (nulls last) is the response, and repeated rows with that
@@ -146,12 +147,7 @@ def dedup_archives(pages: DataFrame, *, least: int = 0, scratch: Scratch | None
     write_archives(resolve_revisits(headers, records, least=least, scratch=scratch), path)
     back = scratch.save(payload_digests(read_archives(spark, path)), "read")
     originals = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("original")).agg(F.min("payload_bytes").alias("original_bytes"), F.min("page_id").alias("original_page"))
-    joined = back.join(originals, F.col("refers_to_id") == F.col("original"), "left")
-    revisit = F.col("record_type") == "revisit"
-    return joined.select(
-        "page_id",
-        F.when(revisit, F.col("original_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("payload_digest")).otherwise(F.col("read_digest")).alias("payload_digest"),
-        "record_type",
-        F.when(revisit, F.col("original_page")).alias("refers_to"),
-    )
+    revisits = back.where("record_type = 'revisit'").join(originals, F.col("refers_to_id") == F.col("original"), "left")
+    revisits = revisits.select("page_id", F.col("original_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("original_page").alias("refers_to"))
+    responses = back.where("record_type = 'response'")
+    return responses.select("page_id", "payload_bytes", F.col("read_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
