@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.decontaminate import decontaminate
-from sievelight.llm.linededup import dedup_lines
+from sievelight.llm.linededup import without_repeats
 from sievelight.llm.mixing import mix_counts
 from sievelight.llm.quality import keep_good
 from sievelight.llm.scratch import Scratch
-from sievelight.llm.setsketch import near_duplicates
+from sievelight.llm.setsketch import keep_one
 
 
 def _resized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,16 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of three lines, or of 50 words in fewer, that occur earlier; one that consists of such runs only goes."""
-    found = dedup_lines(docs, min_lines=3, min_words=50, scratch=Scratch(spark, "lines"))
-    return _resized(found.where("n_removed = 0 OR n_removed < n_lines"), docs.columns)
+    return _resized(without_repeats(docs, min_lines=3, min_words=50, scratch=Scratch(spark, "lines")), docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the least doc_id."""
-    found = near_duplicates(docs, scratch=Scratch(spark, "near"))
-    # ids of documents without a group stay too; of rows that share an id and a text one stays
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return keep_one(docs, scratch=Scratch(spark, "near"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
-    return mix_counts(docs, scratch=Scratch(spark, "mix")).drop("digest")
+    return mix_counts(docs, scratch=Scratch(spark, "mix"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("benchmark", benchmark), ("mix", mix)]
