@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.config import Options
 from sievelight.functions.text import clean_text, shingles
 from sievelight.functions.tokenizers import tokenize
-from sievelight.operators.index import Index
+from sievelight.operators.index import Index, ordered_sum
 
 
 def training_tokens(docs: DataFrame, options: Options) -> DataFrame:
@@ -25,9 +27,43 @@ def training_ngrams(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.select("doc_id", F.posexplode(shingles(F.col("tokens"), n)).alias("pos", "ngram"))
 
 
+def hit_documents(tokens: DataFrame, index: Index) -> DataFrame:
+    """doc_id, tokens and hits (pos and ngram) of the documents of ``tokens`` (doc_id, tokens) in which some n-gram of a small index may occur.
+
+    More than 99 of 100 n-grams miss: only documents with hits are written out of the scan, and only
+    their tokens are shuffled, by doc_id.
+    """
+    n = index.options.ngram_size
+    sent = tokens.sparkSession.sparkContext.broadcast(index.ngram_set())
+    element = tokens.schema["tokens"].dataType.elementType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, pos = sent.value.find(batch.column(1))
+            if not len(owner):
+                continue
+            rows, first = np.unique(owner, return_index=True)
+            lists = batch.column(1).take(pa.array(rows))
+            words = {int(r): x.as_py() for r, x in zip(rows, lists, strict=True)}
+            grams = [" ".join(map(str, words[r][p : p + n])) for r, p in zip(owner.tolist(), pos.tolist(), strict=True)]
+            hits = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(grams, pa.string())], ["pos", "ngram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists, pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)), pa.int32()), hits)], ["doc_id", "tokens", "hits"])
+
+    found = tokens.select("doc_id", "tokens").mapInArrow(find, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, tokens array<{element}>, hits array<struct<pos:int,ngram:string>>")
+    return found.repartition("doc_id")
+
+
 def probe(tokens: DataFrame, index: Index) -> DataFrame:
-    """Hits: doc_id, eval_id, pos, ngram, idf and is_hot; the index is broadcast when it is small."""
-    return training_ngrams(tokens, index.options.ngram_size).join(index.near(index.postings.select("ngram", "eval_id", "idf", "is_hot")), "ngram")
+    """Hits: doc_id, eval_id, pos, ngram, idf and is_hot; an index that is not small meets the n-grams in a shuffle."""
+    if not index.small:
+        return training_ngrams(tokens, index.options.ngram_size).join(index.postings.select("ngram", "eval_id", "idf", "is_hot"), "ngram")
+    return hits_of(hit_documents(tokens, index), index)
+
+
+def hits_of(found: DataFrame, index: Index) -> DataFrame:
+    """The hits of documents found, with the eval rows that have the very n-gram."""
+    hits = found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.pos", "hit.ngram")
+    return hits.join(index.near(index.postings.select("ngram", "eval_id", "idf", "is_hot")), "ngram")
 
 
 def gap_clusters(hits: DataFrame, options: Options) -> DataFrame:
@@ -37,7 +73,7 @@ def gap_clusters(hits: DataFrame, options: Options) -> DataFrame:
     numbered = hits.withColumn("fresh", fresh).withColumn("cluster", F.sum("fresh").over(order))
     by_ngram = numbered.groupBy("doc_id", "eval_id", "cluster", "ngram").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("idf").alias("idf"), F.first("is_hot").alias("is_hot"))
     found = by_ngram.groupBy("doc_id", "eval_id", "cluster").agg(
-        F.min("lo").alias("start"), F.max("hi").alias("end"), F.count("*").alias("ngram_match_cnt"), F.sum("idf").alias("matched_idf"), F.min("is_hot").alias("all_hot")
+        F.min("lo").alias("start"), F.max("hi").alias("end"), F.count("*").alias("ngram_match_cnt"), ordered_sum(F.col("idf")).alias("matched_idf"), F.min("is_hot").alias("all_hot")
     )
     return found.where("not all_hot").drop("all_hot")
 
@@ -84,7 +120,7 @@ def walk(grams: list[str], postings: dict[str, tuple[bool, frozenset]], every: i
 
 
 def walked_clusters(tokens: DataFrame, index: Index) -> DataFrame:
-    """Clusters by the sampled walk, one document at a time. The postings go to every executor, so the index must be small."""
+    """Clusters by the sampled walk, one document with hits at a time. The postings go to every executor, so the index must be small."""
     if not index.small:
         raise ValueError("the sampled walk needs an index that can be broadcast")
     options = index.options
@@ -104,4 +140,5 @@ def walked_clusters(tokens: DataFrame, index: Index) -> DataFrame:
                 rows += [(doc_id, d, number, a, b, len(found), sum(weights[g][2] for g in found)) for number, d, a, b, found in walk(grams, postings, every, misses)]
             yield pd.DataFrame(rows, columns=["doc_id", "eval_id", "cluster", "start", "end", "ngram_match_cnt", "matched_idf"])
 
-    return tokens.select("doc_id", "tokens").mapInPandas(run, "doc_id long, eval_id long, cluster long, start int, end int, ngram_match_cnt long, matched_idf double")
+    # a document without a hit has no cluster
+    return hit_documents(tokens, index).select("doc_id", "tokens").mapInPandas(run, "doc_id long, eval_id long, cluster long, start int, end int, ngram_match_cnt long, matched_idf double")

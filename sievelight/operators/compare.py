@@ -50,5 +50,15 @@ def fingerprints_only_in(first: DataFrame, second: DataFrame) -> DataFrame:
     return own.groupBy("fingerprint").agg(F.count("*").alias("n_rows"), F.max("contamination_score").alias("best_score")).orderBy(F.desc("n_rows"), "fingerprint")
 
 
+def fingerprint_groups(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows whose fingerprint only the first run has, one per key: rows by score within groups, groups by size; group and item count from 1."""
+    rows = keyed(first).where("fingerprint IS NOT NULL").join(second.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    item = Window.partitionBy("fingerprint").orderBy(F.coalesce("contamination_score", F.lit(0.0)), *KEY)
+    sizes = rows.groupBy("fingerprint").agg(F.count("*").alias("group_size"))
+    # one row per fingerprint
+    groups = sizes.withColumn("group", F.row_number().over(Window.orderBy(F.desc("group_size"), "fingerprint")))
+    return rows.withColumn("item", F.row_number().over(item)).join(groups, "fingerprint").orderBy("group", "item")
+
+
 def all_suites(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("eval_dataset").union(second.select("eval_dataset")).distinct()

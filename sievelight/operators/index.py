@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.config import Options
+from sievelight.functions.matching import NgramSet
 from sievelight.functions.scoring import idf
 from sievelight.functions.text import clean_text, shingles
-from sievelight.functions.tokenizers import tokenize
+from sievelight.functions.tokenizers import blank_token, tokenize
 
 #: Bytes of postings up to which they are broadcast; beyond, both sides of the probe are shuffled.
 BROADCAST_BYTES = 256 << 20
@@ -32,19 +34,37 @@ def combined(options: Options) -> Column:
     return F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in parts])
 
 
-def filtered_evals(raw: DataFrame, options: Options) -> DataFrame:
-    """Cleaned rows that pass the token and word filters, without repeated fingerprints, and with a question."""
+def cleaned_evals(raw: DataFrame, options: Options) -> DataFrame:
+    """Rows in the columns of the index with their cleaned texts and all words of these."""
     rows = eval_rows(raw)
     for c in ("question", "answer", "passage"):
         rows = rows.withColumn(f"c_{c}", clean_text(F.coalesce(F.col(c), F.lit("")), options.punctuation_chars))
-    rows = rows.withColumn("all_words", F.filter(F.split(combined(options), " "), lambda w: w != ""))
-    if options.eval_min_token_length:
-        rows = rows.where(F.size("all_words") >= options.eval_min_token_length)
-    if options.eval_min_unique_word_count:
-        rows = rows.where(F.size(F.array_distinct("all_words")) >= options.eval_min_unique_word_count)
+    return rows.withColumn("all_words", F.filter(F.split(combined(options), " "), lambda w: w != ""))
+
+
+def enough_tokens(options: Options) -> Column:
+    """Whether a row has enough tokens of the options' tokenizer, blanks alone not counted."""
+    if not options.eval_min_token_length:
+        return F.lit(True)
+    size = F.size("all_words") if options.tokenizer == "word" else F.size(F.filter(tokenize(combined(options), options.tokenizer), lambda t: ~blank_token(t, options.tokenizer)))
+    return size >= options.eval_min_token_length
+
+
+def enough_words(options: Options) -> Column:
+    return F.size(F.array_distinct("all_words")) >= options.eval_min_unique_word_count if options.eval_min_unique_word_count else F.lit(True)
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """The first row of each fingerprint of a suite; rows without a fingerprint are never copies: each is a group of its own."""
+    place = Window.partitionBy("eval_key", "fingerprint", F.when(F.col("fingerprint").isNull(), F.col("eval_id"))).orderBy(F.col("reference_file").asc_nulls_first(), F.col("eval_line").asc_nulls_first(), "eval_id")
+    return rows.withColumn("copy", F.row_number().over(place)).where("copy = 1 OR fingerprint IS NULL").drop("copy")
+
+
+def filtered_evals(raw: DataFrame, options: Options) -> DataFrame:
+    """Cleaned rows that pass the token and word filters, without repeated fingerprints, and with a question."""
+    rows = cleaned_evals(raw, options).where(enough_tokens(options)).where(enough_words(options))
     if options.eval_dedup:
-        place = Window.partitionBy("eval_key", "fingerprint").orderBy(F.col("reference_file").asc_nulls_first(), F.col("eval_line").asc_nulls_first(), "eval_id")
-        rows = rows.withColumn("copy", F.when(F.col("fingerprint").isNull(), 1).otherwise(F.row_number().over(place))).where("copy = 1").drop("copy")
+        rows = without_copies(rows)
     return rows.where("c_question <> ''").drop("all_words")
 
 
@@ -57,6 +77,18 @@ class Index:
     options: Options
     small: bool  # whether postings may be broadcast
 
+    def ngram_set(self) -> NgramSet:
+        """The questions' n-grams, on the driver: for a small index only."""
+        if not self.small:
+            raise ValueError("the index is too large for the driver")
+        lists = self.evals.select("q_tokens").toArrow().column(0).combine_chunks()
+        return NgramSet.of(lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists, self.options.ngram_size)
+
+    def release(self) -> None:
+        """Give back what the index keeps in memory."""
+        for df in (self.evals, self.postings, self.stats):
+            df.unpersist()
+
     def near(self, df: DataFrame) -> DataFrame:
         """A side of a join that is broadcast if the index is small enough."""
         return F.broadcast(df) if self.small else df
@@ -77,6 +109,11 @@ def token_idf(evals: DataFrame, size: int) -> DataFrame:
     return fields[0].unionAll(fields[1]).unionAll(fields[2]).groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(float(size)), F.col("df")))
 
 
+def ordered_sum(values: Column) -> Column:
+    """A sum whose last digits do not depend on the order of rows."""
+    return F.aggregate(F.array_sort(F.collect_list(values)), F.lit(0.0), lambda a, x: a + x)
+
+
 def hot_threshold(size: int, options: Options) -> int:
     return options.hot_threshold if options.hot_threshold is not None else max(2_000, 2 * int(size**0.5))
 
@@ -97,12 +134,12 @@ def build_index(raw: DataFrame, options: Options | None = None) -> Index:
     own = ngram_postings(evals, "q_tokens", options.ngram_size, short=True)
     df = with_df(own, max(size, 1))
     postings = own.join(df, "ngram").select("ngram", "eval_id", "df", "idf", (F.col("df") > hot_threshold(size, options)).alias("is_hot")).cache()
-    questions = postings.groupBy("eval_id").agg(F.count("*").alias("unique_ngrams"), F.sum("idf").alias("question_idf_sum"))
+    questions = postings.groupBy("eval_id").agg(F.count("*").alias("unique_ngrams"), ordered_sum(F.col("idf")).alias("question_idf_sum"))
     answers = _weighted(evals.where(F.size("a_tokens") > options.short_answer_token_threshold), "a_tokens", options.answer_ngram_size, max(size, 1), "answer")
     passages = _weighted(evals, "p_tokens", options.passage_ngram_size, max(size, 1), "passage")
     tokens = token_idf(evals, max(size, 1))
     short = evals.where((F.size("a_tokens") > 0) & (F.size("a_tokens") <= options.short_answer_token_threshold)).select("eval_id", F.explode(F.array_distinct("a_tokens")).alias("token"))
-    short = short.join(tokens, "token").groupBy("eval_id").agg(F.sum("idf").alias("short_answer_idf"))
+    short = short.join(tokens, "token").groupBy("eval_id").agg(ordered_sum(F.col("idf")).alias("short_answer_idf"))
     stats = evals.select(
         "eval_id", "eval_key", "eval_instance_index", "eval_line", "q_tokens", "a_tokens", "p_tokens",
         F.size("q_tokens").alias("question_tokens"), F.size("a_tokens").alias("answer_total"), F.size(F.array_distinct("a_tokens")).alias("answer_unique"), F.size("p_tokens").alias("passage_total"),
@@ -115,7 +152,7 @@ def build_index(raw: DataFrame, options: Options | None = None) -> Index:
 def _weighted(evals: DataFrame, tokens: str, n: int, size: int, name: str) -> DataFrame:
     """eval_id with its n-grams of a field and their weights, and the sum of these."""
     own = ngram_postings(evals, tokens, n, short=False)
-    return own.join(with_df(own, size), "ngram").groupBy("eval_id").agg(F.collect_list(F.struct("ngram", "idf")).alias(f"{name}_ngrams"), F.sum("idf").alias(f"{name}_idf_sum"))
+    return own.join(with_df(own, size), "ngram").groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct("ngram", "idf"))).alias(f"{name}_ngrams"), ordered_sum(F.col("idf")).alias(f"{name}_idf_sum"))
 
 
 def df_histogram(df: DataFrame) -> DataFrame:
@@ -134,14 +171,16 @@ def hot_ngrams(df: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def build_stats(raw: DataFrame, options: Options) -> DataFrame:
-    """Rows examined, skipped for each reason, and indexed."""
-    rows = eval_rows(raw)
-    examined = rows.count()
-    steps = {"few_tokens": {"eval_min_unique_word_count": 0, "eval_dedup": False}, "few_unique_words": {"eval_dedup": False}, "duplicate": {}}
-    from dataclasses import replace
-
-    left = {"no_filter": filtered_evals(raw, replace(options, eval_min_token_length=0, eval_min_unique_word_count=0, eval_dedup=False)).count()}
-    for name, change in steps.items():
-        left[name] = filtered_evals(raw, replace(options, **change)).count()
-    values = [examined, left["no_filter"] - left["few_tokens"], left["few_tokens"] - left["few_unique_words"], left["few_unique_words"] - left["duplicate"], left["duplicate"]]
-    return raw.sparkSession.createDataFrame([tuple(values)], "examined long, skipped_few_tokens long, skipped_few_words long, skipped_duplicate long, indexed long")
+    """Rows examined, skipped for each reason, and indexed, counted in one pass."""
+    judged = cleaned_evals(raw, options).select("eval_key", "fingerprint", (F.col("c_question") != "").alias("asks"), enough_tokens(options).alias("long"), enough_words(options).alias("rich"))
+    fits = F.col("long") & F.col("rich")
+    key = F.when(fits & F.col("fingerprint").isNotNull(), F.struct("eval_key", "fingerprint"))
+    groups = judged.groupBy(key.alias("key")).agg(
+        F.count("*").alias("examined"), F.count_if(F.col("asks") & ~F.col("long")).alias("few_tokens"), F.count_if(F.col("asks") & F.col("long") & ~F.col("rich")).alias("few_words"),
+        F.count_if(F.col("asks") & fits).alias("fit"),
+    )
+    copies = F.when(F.col("key").isNotNull() & F.lit(options.eval_dedup), F.greatest(F.col("fit") - 1, F.lit(0))).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return groups.agg(
+        total("examined").alias("examined"), total("few_tokens").alias("skipped_few_tokens"), total("few_words").alias("skipped_few_words"), total(copies).alias("skipped_duplicate"), total(F.col("fit") - copies).alias("indexed"),
+    )

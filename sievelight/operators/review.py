@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.scoring import assessment
@@ -66,9 +66,17 @@ def removals(reports: DataFrame) -> DataFrame:
 
 
 def top_examples(reports: DataFrame, limit: int = 10) -> DataFrame:
-    """Most matched eval lines with up to three training files."""
-    files = F.array_join(F.slice(F.array_sort(F.collect_set("training_file")), 1, 3), ",")
-    return reports.groupBy("eval_dataset", "eval_line").agg(F.count("*").alias("n_matches"), files.alias("files")).orderBy(F.desc("n_matches"), "eval_dataset", "eval_line").limit(limit)
+    """Most matched eval lines with their rank, a sample of the eval text and the first three training files by name."""
+    key = ["eval_dataset", "eval_line"]
+    top = reports.groupBy(*key).agg(F.count("*").alias("n_matches")).orderBy(F.desc("n_matches"), *key).limit(limit)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_matches"), *key)))  # limit rows
+    text = F.col("eval_question_text") if "eval_question_text" in reports.columns else F.lit(None).cast("string")
+    rows = reports.select(*key, "training_file", text.alias("eval_text")).join(F.broadcast(top.select(*key)), key)
+    # of many files of one line only three are kept on the way
+    place = Window.partitionBy(*key).orderBy("training_file")
+    files = rows.select(*key, "training_file").distinct().withColumn("place", F.row_number().over(place)).where("place <= 3").groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("training_file")), ",").alias("files"))
+    sample = rows.groupBy(*key).agg(F.min("eval_text").alias("eval_text"))
+    return top.join(files, key).join(sample, key).select("rank", *key, "n_matches", "files", "eval_text").orderBy("rank")
 
 
 def review_order(reports: DataFrame, by: str = "score") -> DataFrame:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.scoring import base_score, final_score, threshold_by_length
-from sievelight.functions.text import highlight, snippet
+from sievelight.functions.text import highlight, highlight_pieces, snippet
+from sievelight.functions.tokenizers import decode_each
 from sievelight.operators import spans
-from sievelight.operators.clusters import gap_clusters, probe, training_tokens, walked_clusters
+from sievelight.operators.clusters import gap_clusters, hit_documents, hits_of, probe, training_tokens, walked_clusters
 from sievelight.operators.index import Index
 
 
+def observed(df: DataFrame, counters: dict[str, Observation] | None, name: str, **metrics: Column) -> DataFrame:
+    """``df``, whose rows are counted as they pass if counters are asked for."""
+    if counters is None:
+        return df
+    counters[name] = Observation(name)
+    return df.observe(counters[name], *[m.alias(k) for k, m in metrics.items()])
+
+
 def ratio(part: Column, total: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0.0)) > 0, part / total).otherwise(0.0)
 
@@ -78,20 +87,32 @@ def one_per_place(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def candidates(docs: DataFrame, index: Index, walked: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Tokens of the documents, and clusters that pass both gates."""
+def candidates(docs: DataFrame, index: Index, walked: bool = False, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the documents (of a small index, of those with hits), and clusters that pass both gates."""
     tokens = training_tokens(docs, index.options)
-    clusters = walked_clusters(tokens, index) if walked else gap_clusters(probe(tokens, index), index.options)
-    return tokens, gates(question_overlaps(clusters, index), index)
+    if not index.small:
+        return tokens, gates(question_overlaps(gap_clusters(probe(tokens, index), index.options), index), index)
+    found = hit_documents(tokens, index) if found is None else found
+    clusters = walked_clusters(tokens, index) if walked else gap_clusters(hits_of(found, index), index.options)
+    return found, gates(question_overlaps(clusters, index), index)
 
 
-def detect(docs: DataFrame, index: Index, *, walked: bool = False) -> DataFrame:
-    """Matches of ``docs`` (doc_id, text, ...) with all scores; texts join back only where a gate was passed."""
-    tokens, passed = candidates(docs, index, walked)
+def detect(docs: DataFrame, index: Index, *, walked: bool = False, counters: dict[str, Observation] | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Matches of ``docs`` (doc_id, text, ...) with all scores; the tokens that join back are those of documents with hits, shuffled once.
+
+    ``counters`` gets observations, which have values once the matches are computed: of clusters that
+    passed the gates, how many lack an answer or a passage that their row has, and of matches.
+    ``found``: the documents with hits, if another run has them already.
+    """
+    tokens, passed = candidates(docs, index, walked, found)
     keyed = tokens.select("doc_id", "tokens")
     found = with_passages(with_answers(passed.join(keyed, "doc_id"), index), index)
+    found = observed(
+        found, counters, "candidates", n=F.count(F.lit(1)), no_answer=F.count_if((F.col("answer_total") > 0) & F.col("answer_boundaries").isNull()), no_passage=F.count_if((F.col("passage_total") > 0) & F.col("passage").isNull())
+    )
     threshold = index.options.contamination_score_threshold
-    return one_per_place(scored(found, index).where(F.col("contamination_score") >= threshold - 1e-9))
+    matches = scored(found, index).where(F.col("contamination_score") >= threshold - 1e-9)
+    return one_per_place(observed(matches, counters, "matches", n=F.count(F.lit(1))))
 
 
 def report(matches: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
@@ -103,6 +124,8 @@ def report(matches: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
     files = docs.select("doc_id", *[c for c in ("training_file", "training_line") if c in docs.columns])
     meta = index.evals.select("eval_id", "split", "reference_file", "fingerprint", "is_correct", *[snippet(F.col(f"c_{c}")).alias(f"eval_{c}_text") for c in ("question", "answer", "passage")])
     rows = matches.join(files, "doc_id").join(index.near(meta), "eval_id", "left")
+    rows = rows.withColumn("pieces", highlight_pieces(F.col("tokens"), begin, question_end, F.col("passage"), F.col("answer_boundaries")))
+    rows = rows.withColumn("piece_texts", decode_each(F.transform("pieces", lambda p: p["tokens"]), o.tokenizer))
     score = o.contamination_score_threshold
     return rows.select(
         *[F.col(c) for c in files.columns], F.col("eval_key").alias("eval_dataset"), "eval_key", "eval_line", "eval_instance_index", "split", "reference_file", F.lit("simple").alias("method"),
@@ -113,7 +136,7 @@ def report(matches: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
         head.cast("long").alias("answer_start_idx"), F.element_at("answer_boundaries", -1)["end"].cast("long").alias("answer_end_idx"),
         F.transform("answer_boundaries", lambda s: F.array(s["start"].cast("long"), s["end"].cast("long"))).alias("answer_boundaries"), "passage_overlap_ratio", "passage_idf_overlap",
         F.col("passage.start").cast("long").alias("passage_start_idx"), F.col("passage.end").cast("long").alias("passage_end_idx"),
-        highlight(F.col("tokens").cast("array<string>"), begin, question_end, F.col("passage"), F.col("answer_boundaries")).alias("training_overlap_text"),
+        highlight(F.col("pieces"), F.col("piece_texts"), " " if o.tokenizer == "word" else "").alias("training_overlap_text"),
         F.nullif("eval_question_text", F.lit("")).alias("eval_question_text"), F.nullif("eval_answer_text", F.lit("")).alias("eval_answer_text"), F.nullif("eval_passage_text", F.lit("")).alias("eval_passage_text"), "fingerprint", "is_correct",
     )
 

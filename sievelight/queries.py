@@ -7,6 +7,7 @@ questions, or split by words into passage, question and answer.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from sievelight.config import PUNCTUATION, Options
 from sievelight.functions import scoring, text
 from sievelight.operators import clusters, compare, index, normalize, review
 from sievelight.plans import detect as plan
+from sievelight.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,7 +457,7 @@ def ngram_match_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(review_sql("SELECT eval_key AS eval_dataset, eval_line, count(*) AS n_matches, array_to_string(list_slice(list_sort(list(DISTINCT training_file)), 1, 3), ',') AS files FROM rep GROUP BY ALL ORDER BY n_matches DESC, eval_dataset, eval_line LIMIT 10"))
 def top_eval_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.top_examples(reports(spark, sf_dir))
+    return review.top_examples(reports(spark, sf_dir)).select("eval_dataset", "eval_line", "n_matches", "files")
 
 
 @query(review_sql("SELECT training_file AS training_dataset, count(DISTINCT training_line) AS n_removed FROM rep GROUP BY 1"))
@@ -486,7 +488,11 @@ def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return reports(spark, sf_dir), reports(spark, sf_dir, contamination_score_threshold=0.5)
+    """Reports of both; the documents are searched once."""
+    strict, docs = built(spark, sf_dir), documents(spark, sf_dir)
+    lax = replace(strict, options=Options(contamination_score_threshold=0.5))
+    found = clusters.hit_documents(clusters.training_tokens(docs, strict.options), strict)
+    return tuple(plan.report(plan.detect(docs, x, found=found), docs, x) for x in (strict, lax))
 
 
 def compare_sql(select: str) -> str:
@@ -607,17 +613,35 @@ def _tokens(name: str) -> None:
     def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         from sievelight.functions.tokenizers import tokenize
 
-        rows = table(spark, sf_dir, "benchmark").select("item_id", text.clean_text(F.col("text")).alias("clean"))
-        return rows.select("item_id", tokenize(F.col("clean"), name).alias("tokens")).select("item_id", F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("digest"))
+        rows = table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("clean"))
+        return rows.select("doc_id", tokenize(F.col("clean"), name).alias("tokens")).select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("digest"))
 
     QUERIES[f"{name}_tokens"] = tokens
 
 
-for _name in ("p50k", "uniseg", "bytes"):
+for _name in ("r50k", "uniseg", "bytes"):
     _tokens(_name)
 
+ORACLE["bytes_tokens"] = f"""WITH h AS (SELECT doc_id, hex(encode(coalesce({clean_sql("text")}, ''))) AS h FROM documents)
+SELECT doc_id, CAST(length(h) // 2 AS INTEGER) AS n_tokens, sha256(array_to_string(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER)), ',')) AS digest FROM h"""
 
-@query()
+
+HIGHLIGHT_SQL = """, hl AS (SELECT k, doc_id, eval_id, dw, start AS q0, CASE WHEN answer_start <= "end" + 4 AND cluster_tokens > question_tokens THEN answer_start - 1 ELSE "end" + 4 END AS q1, passage_start AS p0, passage_end AS p1, answer_start, aw FROM det),
+spans AS (SELECT k, s, x FROM ar UNION ALL SELECT sa.k, sa.i, sa.i + len(c.aw) - 1 FROM sa JOIN c USING (k)),
+ends AS (SELECT k, max(x) AS a1 FROM spans GROUP BY k),
+marked AS (SELECT k, s, string_agg(t, ' ' ORDER BY o) AS t FROM (
+  SELECT k, s, 1 AS o, array_to_string(list_slice(dw, before + 2, s), ' ') AS t FROM (SELECT hl.k, dw, s, coalesce(lag(x) OVER (PARTITION BY hl.k ORDER BY s), q1) AS before FROM hl JOIN spans USING (k)) WHERE before + 1 < s
+  UNION ALL SELECT k, s, 2, '⟦' || array_to_string(list_slice(dw, s + 1, x + 1), ' ') || '⟧' FROM hl JOIN spans USING (k)) GROUP BY k, s),
+answers_marked AS (SELECT k, string_agg(t, ' ' ORDER BY s) AS t FROM marked GROUP BY k)
+SELECT doc_id AS training_line, eval_id AS eval_line, concat_ws(' ',
+  CASE WHEN greatest(q0 - 30, 0) < least(q0, coalesce(p0, q0)) THEN '... ' || array_to_string(list_slice(dw, greatest(q0 - 30, 0) + 1, least(q0, coalesce(p0, q0))), ' ') END,
+  CASE WHEN p1 < q0 THEN '⟨' || array_to_string(list_slice(dw, p0 + 1, p1 + 1), ' ') || '⟩' END, CASE WHEN p1 + 1 < q0 THEN array_to_string(list_slice(dw, p1 + 2, q0), ' ') END,
+  '【' || array_to_string(list_slice(dw, q0 + 1, q1 + 1), ' ') || '】', answers_marked.t,
+  CASE WHEN coalesce(a1, q1) < least(coalesce(a1, q1) + 60, len(dw) - 1) THEN array_to_string(list_slice(dw, coalesce(a1, q1) + 2, least(coalesce(a1, q1) + 60, len(dw) - 1) + 1), ' ') || ' ...' END) AS training_overlap_text
+FROM hl LEFT JOIN ends USING (k) LEFT JOIN answers_marked USING (k)"""
+
+
+@query(detect_sql("qap", "§").replace(" §", HIGHLIGHT_SQL))
 def highlight_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(spark, sf_dir, "qap").select("training_line", "eval_line", "training_overlap_text")
 
