@@ -45,13 +45,18 @@ LAYOUTS = {"q": (0, 3), "qa": (0, 2), "qp": (1, 3), "qap": (1, 2), "s": (0, 0)}
 
 
 def evals(spark: SparkSession, sf_dir: str, layout: str = "q") -> DataFrame:
+    return evals_of(table(spark, sf_dir, "benchmark"), layout)
+
+
+def evals_of(items: DataFrame, layout: str = "q") -> DataFrame:
+    """Items (item_id, text) as eval rows."""
     words = F.split(text.clean_text(F.col("text")), " ")
     n, third = F.size("w"), F.floor(F.size("w") / 3).cast("int")
     a, b = LAYOUTS[layout]
     first = third * a
     last = n if b == 3 else F.greatest(n - 2, F.lit(0)) if layout == "s" else third * b
     part = lambda lo, hi: F.array_join(F.slice("w", lo + 1, F.greatest(hi - lo, F.lit(0))), " ")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    rows = items.select("item_id", words.alias("w"))
     return rows.select(
         F.col("item_id").alias("eval_id"), F.concat(F.lit("suite"), (F.col("item_id") % 3).cast("string")).alias("eval_key"), F.col("item_id").alias("eval_line"), F.col("item_id").alias("eval_instance_index"),
         F.lit("test").alias("split"), text.fingerprint(part(F.lit(0), first), part(first, last), part(last, n)).alias("fingerprint"), F.lit(True).alias("is_correct"), F.lit("benchmark").alias("reference_file"),
@@ -310,6 +315,36 @@ def detect_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matches(spark, sf_dir).select("doc_id", "eval_id", "start", "end", "contamination_score"), "contamination_score")
 
 
+# conversations in place of documents, and their turns in place of benchmark items: n-grams that several items share, and items that compete
+TURNS_SQL = """documents AS (SELECT conv_id AS doc_id, 'conversations' AS source, string_agg(coalesce(text, ''), ' ' ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id),
+benchmark AS (SELECT conv_id * 100000 + turn AS item_id, text FROM conversations)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index.Index]:
+    rows = table(spark, sf_dir, "conversations")
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda t: t["text"]), " ")
+    docs = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(text_of.alias("text"))
+    return docs, index.build_index(evals_of(rows.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("item_id"), "text")), Options())
+
+
+@query(with_sql(TURNS_SQL, evals_sql(), select="SELECT ngram, df, round(idf, 6) AS idf FROM ndf"))
+def shared_ngram_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(turns(spark, sf_dir)[1].postings.select("ngram", "df", "idf").distinct(), "idf")
+
+
+@query(with_sql(TURNS_SQL, DOCS_SQL, evals_sql(), HITS_SQL, select="SELECT doc_id, eval_id, pos, ngram FROM hits"))
+def shared_ngram_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found = turns(spark, sf_dir)
+    return clusters.probe(clusters.training_tokens(docs, Options()), found).select("doc_id", "eval_id", "pos", "ngram")
+
+
+@query("WITH " + TURNS_SQL + ", " + detect_sql("q", 'SELECT doc_id, eval_id, start, "end", ngram_match_cnt, round(idf_overlap, 6) AS idf_overlap, round(contamination_score, 6) AS contamination_score FROM det').removeprefix("WITH "))
+def detect_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations found in all conversations."""
+    matches = plan.detect(*turns(spark, sf_dir)).select("doc_id", "eval_id", "start", "end", "ngram_match_cnt", "idf_overlap", "contamination_score")
+    return rounded(matches, "idf_overlap", "contamination_score")
+
+
 @query("SELECT n_chars, round(CASE WHEN n_chars <= 20 THEN 1.0 WHEN n_chars >= 50 THEN 0.8 ELSE 1.0 - (n_chars - 20) / 30.0 * 0.2 END, 6) AS need FROM (SELECT DISTINCT n_chars FROM documents)")
 def threshold_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = table(spark, sf_dir, "documents").select("n_chars").distinct()
@@ -488,21 +523,22 @@ def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Reports of both; the documents are searched once."""
-    strict, docs = built(spark, sf_dir), documents(spark, sf_dir)
+    """Reports of both, of items with answers and passages; the documents are searched once."""
+    strict, docs = built(spark, sf_dir, "qap"), documents(spark, sf_dir)
     lax = replace(strict, options=Options(contamination_score_threshold=0.5))
     found = clusters.hit_documents(clusters.training_tokens(docs, strict.options), strict)
     return tuple(plan.report(plan.detect(docs, x, found=found), docs, x) for x in (strict, lax))
 
 
-def compare_sql(select: str) -> str:
-    first = review_sql("SELECT * FROM rep")
-    return f"WITH one AS ({first}), two AS ({review_sql('SELECT * FROM rep', 0.5)}), k1 AS (SELECT training_file, training_line, eval_key, eval_line, max(contamination_score) AS s FROM one GROUP BY ALL), k2 AS (SELECT training_file, training_line, eval_key, eval_line, max(contamination_score) AS s FROM two GROUP BY ALL) {select}"
+def compare_sql(select: str, first: str = "qap") -> str:
+    run = lambda layout, threshold: detect_sql(layout, "§", threshold).replace(" §", f", {REP} SELECT * FROM rep")
+    return f"WITH one AS ({run(first, 0.8)}), two AS ({run('qap', 0.5)}), k1 AS (SELECT training_file, training_line, eval_key, eval_line, max(contamination_score) AS s FROM one GROUP BY ALL), k2 AS (SELECT training_file, training_line, eval_key, eval_line, max(contamination_score) AS s FROM two GROUP BY ALL) {select}"
 
 
-@query(compare_sql("SELECT training_line, eval_line FROM k1 ANTI JOIN k2 USING (training_file, training_line, eval_key, eval_line)"))
+@query(compare_sql("SELECT training_line, eval_line FROM k1 ANTI JOIN k2 USING (training_file, training_line, eval_key, eval_line)", "q"))
 def only_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.only_in(*runs(spark, sf_dir)).select("training_line", "eval_line")
+    """Of whole items, what is not found of the same items with answers and passages."""
+    return compare.only_in(reports(spark, sf_dir), reports(spark, sf_dir, "qap", contamination_score_threshold=0.5)).select("training_line", "eval_line")
 
 
 @query(compare_sql("SELECT training_line, eval_line, round(s, 6) AS contamination_score FROM k2 ANTI JOIN k1 USING (training_file, training_line, eval_key, eval_line)"))
