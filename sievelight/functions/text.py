@@ -67,9 +67,11 @@ def ansi_highlight(text: Column) -> Column:
     return text
 
 
-def highlight_pieces(tokens: Column, start: Column, end: Column, passage: Column, answers: Column, before: int = 30, after: int = 60) -> Column:
+def highlight_pieces(tokens: Column, start: Column, end: Column, passage: Column | None = None, answers: Column | None = None, before: int = 30, after: int = 60) -> Column:
     """Pieces (kind and tokens) around a match in their order: before it, the passage, what follows, the question, each answer after what is between, after it."""
     piece = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.slice(tokens, a.cast("int") + 1, F.greatest(b - a, F.lit(0)).cast("int")).alias("tokens"))
+    passage = F.lit(None).cast("struct<start:int,end:int>") if passage is None else passage
+    answers = F.lit(None).cast("array<struct<start:int,end:int>>") if answers is None else answers
     ahead = passage.isNotNull() & (passage["end"] < start)
     first = F.when(passage.isNotNull(), F.least(passage["start"], start)).otherwise(start)
     spans = F.coalesce(answers, F.array().cast("array<struct<start:int,end:int>>"))
@@ -82,7 +84,13 @@ def highlight_pieces(tokens: Column, start: Column, end: Column, passage: Column
     return F.filter(pieces, lambda p: p.isNotNull() & (F.size(p["tokens"]) > 0))
 
 
-def highlight(pieces: Column, texts: Column, glue: str) -> Column:
+def highlight(tokens: Column, start: Column, end: Column, passage: Column | None = None, answers: Column | None = None, before: int = 30, after: int = 60) -> Column:
+    """Words around a match: the passage in angle, the question in lenticular, answers in white square brackets."""
+    pieces = highlight_pieces(tokens, start, end, passage, answers, before, after)
+    return marked(pieces, F.transform(pieces, lambda p: F.array_join(p["tokens"], " ")), " ")
+
+
+def marked(pieces: Column, texts: Column, glue: str) -> Column:
     """The pieces' texts with brackets around passage, question and answers, and dots where the document goes on."""
 
     def shown(kind: Column, text: Column) -> Column:

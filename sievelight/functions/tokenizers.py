@@ -48,7 +48,7 @@ def encoding_of(name: str, folder: str = FOLDER) -> tuple[str, str]:
 
 
 @cache
-def blank_ids(name: str, folder: str = FOLDER) -> frozenset[int]:
+def vocabulary(name: str, folder: str = FOLDER) -> frozenset[int]:
     """Ids of a vocabulary's tokens that are white space only, found by decoding them."""
     encoding = bpe(*encoding_of(name, folder))
     return frozenset(i for i in range(encoding.n_vocab) if encoding.decode_single_token_bytes(i).decode("utf-8", "replace").isspace())
@@ -58,7 +58,7 @@ def blank_token(token: Column, name: str = "word", folder: str = FOLDER) -> Colu
     """Whether a token is a blank, which the token counts of filters leave out; words and segments never count as one."""
     if name in ("word", "uniseg"):
         return F.lit(False)
-    return token.isin(sorted(blank_ids(name, folder)) if name in VOCABULARIES else [9, 10, 13, 32])
+    return token.isin(sorted(vocabulary(name, folder)) if name in VOCABULARIES else [9, 10, 13, 32])
 
 
 def tokenize(clean: Column, name: str = "word", folder: str = FOLDER) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.scoring import base_score, final_score, threshold_by_length
-from sievelight.functions.text import highlight, highlight_pieces, snippet
+from sievelight.functions.text import highlight_pieces, marked, snippet
 from sievelight.functions.tokenizers import decode_each
 from sievelight.operators import spans
 from sievelight.operators.clusters import gap_clusters, hit_documents, hits_of, probe, training_tokens, walked_clusters
@@ -136,7 +136,7 @@ def report(matches: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
         head.cast("long").alias("answer_start_idx"), F.element_at("answer_boundaries", -1)["end"].cast("long").alias("answer_end_idx"),
         F.transform("answer_boundaries", lambda s: F.array(s["start"].cast("long"), s["end"].cast("long"))).alias("answer_boundaries"), "passage_overlap_ratio", "passage_idf_overlap",
         F.col("passage.start").cast("long").alias("passage_start_idx"), F.col("passage.end").cast("long").alias("passage_end_idx"),
-        highlight(F.col("pieces"), F.col("piece_texts"), " " if o.tokenizer == "word" else "").alias("training_overlap_text"),
+        marked(F.col("pieces"), F.col("piece_texts"), " " if o.tokenizer == "word" else "").alias("training_overlap_text"),
         F.nullif("eval_question_text", F.lit("")).alias("eval_question_text"), F.nullif("eval_answer_text", F.lit("")).alias("eval_answer_text"), F.nullif("eval_passage_text", F.lit("")).alias("eval_passage_text"), "fingerprint", "is_correct",
     )
 

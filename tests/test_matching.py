@@ -57,7 +57,7 @@ def test_tokenizers_that_are_not_there(spark):
 
 
 def test_blank_tokens_do_not_count(spark):
-    blank = tokenizers.blank_ids("r50k")
+    blank = tokenizers.vocabulary("r50k")
     assert {*range(197, 202), *range(216, 221), 628, 1849} <= blank and 995 not in blank
     raw = spark.createDataFrame([(1, "ab cd"), (2, "abcde")], "eval_id long, question string")
     kept = lambda least: sorted(r["eval_id"] for r in build_index(raw, Options(tokenizer="bytes", eval_min_token_length=least, eval_min_unique_word_count=0)).evals.collect())
@@ -80,7 +80,7 @@ def test_several_answers_and_terminal_colours(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((4, 4), (7, 8))])
     none = F.lit(None).cast("struct<start:int,end:int>")
     pieces = text.highlight_pieces(tokens, F.lit(1), F.lit(2), none, spans)
-    shown = text.highlight(pieces, tokenizers.decode_each(F.transform(pieces, lambda p: p["tokens"]), "word"), " ")
+    shown = text.marked(pieces, tokenizers.decode_each(F.transform(pieces, lambda p: p["tokens"]), "word"), " ")
     row = spark.range(1).select(shown.alias("s")).select("s", text.ansi_highlight(F.col("s")).alias("c"), text.thousands(F.lit(1234567)).alias("n")).first()
     assert row["s"] == "... a 【b c】 d ⟦e⟧ f g ⟦h i⟧ j ..." and row["c"].count("\033[0m") == 3 and row["n"] == "1,234,567"
 
@@ -180,3 +180,24 @@ def test_comparison_groups_and_ranks(spark):
     two = one.where("fingerprint = 'z'")
     assert [(r["group"], r["item"], r["fingerprint"], r["contamination_score"]) for r in compare.fingerprint_groups(one, two).collect()] == [(1, 1, "y", 0.7), (1, 2, "y", 0.8), (2, 1, "x", 0.9)]
     assert [(r["rank"], r["eval_line"], r["n_matches"], r["files"], r["eval_text"]) for r in review.top_examples(one).collect()] == [(1, 1, 3, "f,g", "t"), (2, 5, 2, "h", "u")]
+
+
+def test_options_of_a_file_and_reports_with_their_source(spark, tmp_path):
+    from sievelight.config import load_options
+
+    (tmp_path / "c.yaml").write_text("ngram_size: 7\ntokenizer_str: uniseg\nperfect_match_decay_end: null\nsomething_else: 3\n")
+    found = load_options(str(tmp_path / "c.yaml"), sample_every_m_tokens=4, purify=None)
+    assert (found.ngram_size, found.tokenizer, found.perfect_match_decay_end, found.sample_every_m_tokens, found.purify) == (7, "uniseg", None, 4, False)
+    with pytest.raises(ValueError):
+        load_options(str(tmp_path / "c.yaml"), ngram_size=0)
+    (tmp_path / "r" / "deep").mkdir(parents=True)
+    (tmp_path / "r" / "deep" / "x.jsonl").write_text('{"training_file": "f", "training_line": 3}\nbroken\n{"training_file": "g", "training_line": 4, "unknown": 1}\n')
+    rows = jsonl.read_reports(spark, str(tmp_path / "r"), with_source=True).collect()
+    assert sorted((r["training_file"], r["training_line"], r["report_file"].rpartition("/")[2]) for r in rows) == [("f", 3, "x.jsonl"), ("g", 4, "x.jsonl")]
+
+
+def test_an_index_gives_its_memory_back(spark):
+    index = index_of(spark, OTHERS)
+    index.stats.count()
+    index.release()
+    assert not any(df.is_cached for df in (index.evals, index.postings, index.stats))
