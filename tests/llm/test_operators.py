@@ -211,23 +211,66 @@ def test_a_passage_with_one_edit_is_found_from_every_seed(kind, place):
             assert not passages.verified_passages(x, y, seed, 46, 80, 2, False)
 
 
-def test_compact_windows_against_all_subsequences():
+def test_links_join_what_all_pairs_join(spark):
+    from sievelight.llm.passages import near_components, near_passages
+
+    texts = []
+    for k in range(4):  # the last of each three is near both others, and they are below 0.8 of each other
+        passage = prose(50, 700 + k)
+        texts += [f"{prose(20, 800 + 10 * k + i)} {v} {prose(20, 900 + 10 * k + i)}" for i, v in enumerate([edit(passage, [10]), edit(passage, [35]), passage])]
+    texts += [prose(120, 990), None, "w " * 30, "w " * 30]
+    truth = brute_passages([t or "" for t in texts])
+    links = {(r["doc_id"], r["first_doc_id"]) for r in near_passages(docs_of(spark, texts)).collect()}
+    assert truth == {(3 * k + 2, 3 * k + i) for k in range(4) for i in (0, 1)} and links == truth
+    rows = {r["doc_id"]: (r["component_id"], r["repeats"]) for r in near_components(docs_of(spark, texts)).collect()}
+    assert rows == {i: (3 * (i // 3), True) if i < 12 else (i, False) for i in range(16)}
+
+
+def test_alignments_against_sets_of_all_passages():
+    import numpy as np
+
+    from sievelight.llm.passages import best_alignments, passage_sizes
+
+    rng = np.random.default_rng(2)
+    for k in range(60):
+        span, percent, s = int(rng.integers(2, 9)), int(rng.choice([50, 80, 90])), int(rng.integers(-5, 6))
+        x, y = (rng.integers(0, 3 + k // 2, int(rng.integers(span, 40))).astype(np.uint64) for _ in range(2))
+        y[: len(x) // 2] = x[: len(x) // 2][: len(y)]
+        mine, other = ([set(z[i : i + span].tolist()) for i in range(len(z) - span + 1)] for z in (x, y))
+        assert passage_sizes(x, span)[1].tolist() == [len(p) for p in mine]
+        (before, sizes), (other_before, other_sizes) = passage_sizes(x, span), passage_sizes(y, span)
+        hit, shift = best_alignments(x, y, np.arange(len(mine)), s, span, percent, False, before, other_before, sizes, other_sizes)
+        near = {i: [abs(i - j - s) for j, q in enumerate(other) if abs(i - j - s) < span and 100 * len(p & q) >= percent * len(p | q)] for i, p in enumerate(mine)}
+        assert {i: abs(d - s) for i, d in zip(hit.tolist(), shift.tolist(), strict=True)} == {i: min(d) for i, d in near.items() if d}
+
+
+def test_near_passages_share_a_seed():
     import numpy as np
 
-    from sievelight.llm.passages import compact_windows
+    from sievelight.llm.passages import near_runs, seed_places, seed_runs
 
     rng = np.random.default_rng(3)
-    values = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
-    whole = np.ones(60, bool)
-    whole[[20, 21, 55]] = False
-    l, c, r = compact_windows(values, whole, 5)
-    got = {}
-    for a, m, b in zip(l, c, r, strict=True):
-        for i in range(a, m + 1):
-            for j in range(max(m, i + 4), b + 1):
-                assert (i, j) not in got
-                got[i, j] = m
-    assert got == {(i, j): i + int(values[i : j + 1].argmin()) for i in range(60) for j in range(i + 4, 60) if whole[i : j + 1].all()}
+    base = np.concatenate([rng.integers(0, 1 << 62, 150), np.resize(rng.integers(0, 1 << 62, 5), 60)])
+
+    def text():
+        kinds = [lambda: rng.integers(0, 1 << 62, rng.integers(10, 80)), lambda: np.resize(rng.integers(0, 1 << 62, rng.integers(1, 12)), rng.integers(20, 160)), lambda: base[(a := rng.integers(0, 100)) : a + rng.integers(30, 90)]]
+        return np.concatenate([np.zeros(0, np.int64), *[kinds[rng.integers(0, 3)]() for _ in range(4)]]).astype(np.uint64)
+
+    seen = set()
+    for k in range(80):
+        x, y = text(), text()
+        if k % 2:
+            y = x.copy()
+            changed = rng.random(len(y)) < 0.1
+            y[changed] = rng.integers(0, 1 << 62, changed.sum()).astype(np.uint64)
+        mine, other = ({frozenset(z[i : i + 46].tolist()) for i in range(len(z) - 45)} for z in (x, y))
+        near = any(100 * len(p & q) >= 80 * len(p | q) for p in mine for q in other)
+        places = [seed_places(z, np.ones(len(z), bool), 46, 80)[0] for z in (x, y)]
+        p, q = np.nonzero(x[places[0], None] == y[places[1]])
+        found = near_runs(x, y, seed_runs(places[0][p], places[1][q], 46), 46, 80, False) if len(p) else []
+        assert bool(found) == near
+        seen.add(near)
+    assert seen == {False, True}
 
 
 # --- 6
