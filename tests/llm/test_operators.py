@@ -273,6 +273,37 @@ def test_near_passages_share_a_seed():
     assert seen == {False, True}
 
 
+def test_seeds_are_counted_once_for_a_passage(spark):
+    import numpy as np
+
+    from sievelight.llm import passages
+
+    # texts of repeated words that have one run in common: one shingle of 16, at nine places
+    texts = ["the " * 13 + " ".join(f"w{i}x{k} " * 13 for k in range(3)) for i in range(70)]
+    rows = docs_of(spark, texts).selectExpr("doc_id AS row", "doc_id", "text")
+    kept = lambda df: passages.shared_seeds(passages.find_seeds(df, size=5, span=46, percent=80), span=46, percent=80).count()
+    assert kept(rows) == 0 and kept(docs_of(spark, [texts[0], texts[0] + " end"]).selectExpr("doc_id AS row", "doc_id", "text")) > 0
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        span, text, place, reach, most = int(rng.integers(1, 20)), [], [], [], []
+        for t in range(3):
+            before, _ = passages.passage_sizes(rng.integers(0, rng.integers(1, 40), rng.integers(1, 150)).astype(np.uint64), span)
+            own = np.flatnonzero(rng.random(len(before)) < 0.5)
+            text, place, reach = text + [t] * len(own), place + own.tolist(), reach + (own - before[own]).tolist()
+            most += [max(int(((before[own] < s) & (own >= s)).sum()) for s in range(before[p] + 1, p + 1)) for p in own]
+        assert passages.most_held(*(np.array(z, np.int64) for z in (text, place, reach)), span).tolist() == most
+
+
+def test_a_later_link_takes_whole_components_along(spark):
+    from sievelight.llm.passages import joined_components
+    from sievelight.llm.scratch import Scratch
+
+    labels = spark.createDataFrame([(k, k) for k in range(12)], "cid long, label long")
+    for found in ([(10, 9), (9, 11), (8, 7)], [(10, 5), (8, 11), (3, 3)], [(7, 2)]):
+        labels = joined_components(labels, spark.createDataFrame(found, "x long, y long"), Scratch(spark, "joined"))
+    assert {r["cid"]: r["label"] for r in labels.collect()} == {k: 2 if k in (2, 5, 7, 8, 9, 10, 11) else k for k in range(12)}
+
+
 # --- 6
 
 
