@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens, or bytes of text, that are worked on at once in Python, whatever the size of an Arrow batch.
+PIECE = 1 << 18
+
+
+def bounds(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, in order, whose sizes sum to at most ``most``; a larger row is a range of its own."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield first, end
+        first = end
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded size: by the number of elements of a list column."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy()
+    for first, end in bounds(sizes, most or PIECE):
+        yield batch.slice(first, end - first)
 
 
 def _codes(ids: np.ndarray, n: int) -> np.ndarray:

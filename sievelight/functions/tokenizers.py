@@ -5,13 +5,16 @@ from __future__ import annotations
 import base64
 import os
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievelight.functions.matching import PIECE, bounds
 from sievelight.functions.text import word_tokens
 
 FOLDER = "/opt/tokenizers"
@@ -74,28 +77,39 @@ def tokenize(clean: Column, name: str = "word", folder: str = FOLDER) -> Column:
     return _bytes()(clean)
 
 
+def _lists(texts: pa.Array, kind: pa.DataType, cut: Callable[[str], list]) -> Iterator[pa.Array]:
+    """The token lists of texts, none of a null one, a bounded piece at a time: as Python's objects they are many times as large as the texts."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    for first, end in bounds(sizes, PIECE):
+        yield pa.array([cut(t) if t else [] for t in texts.slice(first, end - first).to_pylist()], pa.list_(kind))
+
+
 def _segments() -> Callable:
-    @F.pandas_udf("array<string>")
-    def segments(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def segments(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
-        return texts.map(lambda t: [x for x in regex.split(r"(?w)\b", t or "") if x])
+        words = regex.compile(r"(?w)\b")
+        for texts in batches:
+            yield from _lists(texts, pa.string(), lambda t: [x for x in words.split(t) if x])
 
     return segments
 
 
 def _bytes() -> Callable:
-    @F.pandas_udf("array<bigint>")
-    def utf8(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list((t or "").encode()))
+    @F.arrow_udf("array<bigint>")
+    def utf8(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from _lists(texts, pa.int64(), lambda t: list(t.encode()))
 
     return utf8
 
 
 def _ids(path: str, pattern: str) -> Callable:
-    @F.pandas_udf("array<bigint>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bpe(path, pattern).encode_ordinary(" " + t) if t else [])
+    @F.arrow_udf("array<bigint>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from _lists(texts, pa.int64(), lambda t: bpe(path, pattern).encode_ordinary(" " + t))
 
     return ids
 

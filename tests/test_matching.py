@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievelight.config import Options
 
-from sievelight.functions import text, tokenizers
+from sievelight.functions import matching, text, tokenizers
 from sievelight.functions.matching import NgramSet
 from sievelight.operators import compare, review
 from sievelight.operators.index import build_index
@@ -201,3 +201,22 @@ def test_an_index_gives_its_memory_back(spark):
     index.stats.count()
     index.release()
     assert not any(df.is_cached for df in (index.evals, index.postings, index.stats))
+
+
+def test_pieces_are_bounded_and_whole():
+    sizes = [3, 0, 4, 9, 1, None, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([None if k is None else ["x"] * k for k in sizes], pa.list_(pa.string()))], ["doc_id", "tokens"])
+    parts = [p.column(0).to_pylist() for p in matching.pieces(batch, 1, 7)]
+    assert parts == [[0, 1, 2], [3], [4, 5, 6]] and list(matching.bounds([], 7)) == []
+    texts = pa.array(["ab cd", None, "", "é"] * 100_000)
+    cut = list(tokenizers._lists(texts, pa.int64(), lambda t: list(t.encode())))
+    assert len(cut) > 1 and max(len(c.flatten()) for c in cut) <= matching.PIECE
+    assert pa.concat_arrays(cut).to_pylist() == [list((t or "").encode()) for t in texts.to_pylist()]
+
+
+def test_tokens_of_many_pieces_stay_with_their_rows(spark):
+    rows = spark.range(0, 6_000, 1, 1).withColumn("t", F.when(F.col("id") % 7 != 0, F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 60)))
+    for name in ("uniseg", "bytes", "r50k"):
+        sizes = rows.select("id", F.size(tokenizers.tokenize(F.col("t"), name)).alias("n"), F.coalesce(F.length("t"), F.lit(0)).alias("chars"))
+        assert sizes.where("(n = 0) <> (id % 7 = 0)").count() == 0
+        assert name != "bytes" or sizes.where("n <> chars").count() == 0
