@@ -77,12 +77,13 @@ class Index:
     options: Options
     small: bool  # whether postings may be broadcast
 
-    def ngram_set(self) -> NgramSet:
-        """The questions' n-grams, on the driver: for a small index only."""
-        if not self.small:
+    def ngram_set(self, *others: Index) -> NgramSet:
+        """The n-grams of the questions, and of those of other indexes with this n, on the driver: for small indexes only."""
+        every = {id(x.evals): x for x in (self, *others)}.values()
+        if not all(x.small for x in every):
             raise ValueError("the index is too large for the driver")
-        lists = self.evals.select("q_tokens").toArrow().column(0).combine_chunks()
-        return NgramSet.of(lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists, self.options.ngram_size)
+        lists = [x.evals.select("q_tokens").toArrow().column(0).combine_chunks() for x in every]
+        return NgramSet.of(pa.concat_arrays([c for x in lists for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])]), self.options.ngram_size)
 
     def release(self) -> None:
         """Give back what the index keeps in memory."""

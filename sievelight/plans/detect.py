@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,17 @@ from sievelight.operators.clusters import gap_clusters, hit_documents, hits_of,
 from sievelight.operators.index import Index
 
 
+#: Where documents with hits are kept, which clusters and answers read: what memory cannot hold is on disk.
+HELD = StorageLevel.MEMORY_AND_DISK
+
+
+def search(docs: DataFrame, *indexes: Index) -> DataFrame | None:
+    """The documents with hits of small indexes with one tokenizer and n, kept until they are unpersisted; None if an index is not small."""
+    if not all(x.small for x in indexes):
+        return None
+    return hit_documents(training_tokens(docs, indexes[0].options), *indexes).persist(HELD)
+
+
 def observed(df: DataFrame, counters: dict[str, Observation] | None, name: str, **metrics: Column) -> DataFrame:
     """``df``, whose rows are counted as they pass if counters are asked for."""
     if counters is None:
@@ -92,7 +104,7 @@ def candidates(docs: DataFrame, index: Index, walked: bool = False, found: DataF
     tokens = training_tokens(docs, index.options)
     if not index.small:
         return tokens, gates(question_overlaps(gap_clusters(probe(tokens, index), index.options), index), index)
-    found = hit_documents(tokens, index) if found is None else found
+    found = search(docs, index) if found is None else found
     clusters = walked_clusters(tokens, index) if walked else gap_clusters(hits_of(found, index), index.options)
     return found, gates(question_overlaps(clusters, index), index)
 

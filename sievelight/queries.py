@@ -524,10 +524,14 @@ def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Reports of both, of items with answers and passages; the documents are searched once."""
-    strict, docs = built(spark, sf_dir, "qap"), documents(spark, sf_dir)
-    lax = replace(strict, options=Options(contamination_score_threshold=0.5))
-    found = clusters.hit_documents(clusters.training_tokens(docs, strict.options), strict)
-    return tuple(plan.report(plan.detect(docs, x, found=found), docs, x) for x in (strict, lax))
+    strict = built(spark, sf_dir, "qap")
+    return reports_of(documents(spark, sf_dir), strict, replace(strict, options=Options(contamination_score_threshold=0.5)))
+
+
+def reports_of(docs: DataFrame, *indexes: index.Index) -> tuple[DataFrame, ...]:
+    """Reports of each index; the documents are searched once for all."""
+    found = plan.search(docs, *indexes)
+    return tuple(plan.report(plan.detect(docs, x, found=found), docs, x) for x in indexes)
 
 
 def compare_sql(select: str, first: str = "qap") -> str:
@@ -538,7 +542,8 @@ def compare_sql(select: str, first: str = "qap") -> str:
 @query(compare_sql("SELECT training_line, eval_line FROM k1 ANTI JOIN k2 USING (training_file, training_line, eval_key, eval_line)", "q"))
 def only_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of whole items, what is not found of the same items with answers and passages."""
-    return compare.only_in(reports(spark, sf_dir), reports(spark, sf_dir, "qap", contamination_score_threshold=0.5)).select("training_line", "eval_line")
+    both = reports_of(documents(spark, sf_dir), built(spark, sf_dir), built(spark, sf_dir, "qap", contamination_score_threshold=0.5))
+    return compare.only_in(*both).select("training_line", "eval_line")
 
 
 @query(compare_sql("SELECT training_line, eval_line, round(s, 6) AS contamination_score FROM k2 ANTI JOIN k1 USING (training_file, training_line, eval_key, eval_line)"))

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from sievelight.functions.text import nested_text
 from sievelight.operators.index import Index
-from sievelight.plans.detect import detect, purify, report
+from sievelight.plans.detect import detect, purify, report, search
 from sievelight.sources.jsonl import text_lines, with_file_ids
 from sievelight.sources.sinks import write_purified, write_reports
 
@@ -25,12 +25,14 @@ def detect_stream(docs: DataFrame, index: Index, reports: str, checkpoint: str,
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
-        found = detect(df, index).select("doc_id", "eval_id", "start", "end", "idf_overlap", "answer_idf_overlap", "passage_idf_overlap", "contamination_score").persist()
+        held = search(df, index)
+        found = detect(df, index, found=held).select("doc_id", "eval_id", "start", "end", "idf_overlap", "answer_idf_overlap", "passage_idf_overlap", "contamination_score").persist()
         found.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{reports}/batch={number}")
         if cleaned:
             purify(df, found).write.mode("overwrite").parquet(f"{cleaned}/batch={number}")
-        found.unpersist()
-        df.unpersist()
+        for kept in (found, held, df):
+            if kept is not None:
+                kept.unpersist()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,14 +52,16 @@ def process_folder(spark: SparkSession, source: str, index: Index, reports: str,
             return
         lines = with_file_ids(text_lines(spark, paths)).persist()
         docs = lines.withColumn("text", nested_text(F.col("raw"), options.content_key)).where("text IS NOT NULL")
-        found = report(detect(docs, index), docs, index).persist()
+        held = search(docs, index)
+        found = report(detect(docs, index, found=held), docs, index).persist()
         names = write_reports(found, reports, base=source, threshold=options.contamination_score_threshold)
         if cleaned:
             names += write_purified(lines, found, cleaned, base=source)
         if upload:
             upload(names)
-        found.unpersist()
-        lines.unpersist()
+        for kept in (found, held, lines):
+            if kept is not None:
+                kept.unpersist()
 
     names = spark.readStream.format("text").option("pathGlobFilter", "*.jsonl*").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).load(source).select(F.col("_metadata.file_path").alias("path"))
     return names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -220,3 +220,20 @@ def test_tokens_of_many_pieces_stay_with_their_rows(spark):
         sizes = rows.select("id", F.size(tokenizers.tokenize(F.col("t"), name)).alias("n"), F.coalesce(F.length("t"), F.lit(0)).alias("chars"))
         assert sizes.where("(n = 0) <> (id % 7 = 0)").count() == 0
         assert name != "bytes" or sizes.where("n <> chars").count() == 0
+
+
+def test_documents_are_searched_once(spark):
+    first, second = (index_of(spark, rows) for rows in ([("a", 1, None, QUESTION, ANSWER, PASSAGE), *OTHERS], [("b", 1, None, " ".join(WORDS[200:230]), None, None), *OTHERS]))
+    texts = [f"{PASSAGE} so {QUESTION} then {ANSWER} end", f"x {' '.join(WORDS[200:230])} y", "no words of any item are in this text here", "short"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = docs_of(spark, *texts)
+    counted = docs.mapInArrow(passed, docs.schema)
+    assert {r["doc_id"] for r in plan.detect(counted, first).collect()} == {0} and seen.value == 4
+    found = plan.search(counted, first, second)
+    assert [{r["doc_id"] for r in plan.detect(counted, x, found=found).collect()} for x in (first, second)] == [{0}, {1}] and seen.value == 8
