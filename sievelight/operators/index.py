@@ -158,8 +158,13 @@ def _weighted(evals: DataFrame, tokens: str, n: int, size: int, name: str) -> Da
 
 def df_histogram(df: DataFrame) -> DataFrame:
     """Number of n-grams by size of their posting set."""
+    return df_classes(df, F.count("*"))
+
+
+def df_classes(df: DataFrame, total: Column) -> DataFrame:
+    """A total of rows by class of df."""
     bucket = F.when(F.col("df") == 1, "1").when(F.col("df") <= 10, "2-10").when(F.col("df") <= 100, "11-100").when(F.col("df") <= 1000, "101-1000").otherwise(">1000")
-    return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_ngrams"))
+    return df.groupBy(bucket.alias("bucket")).agg(total.alias("n_ngrams"))
 
 
 def df_summary(df: DataFrame) -> DataFrame:

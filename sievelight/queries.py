@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievelight.config import PUNCTUATION, Options
 from sievelight.functions import scoring, text
-from sievelight.operators import clusters, compare, index, normalize, review
+from sievelight.operators import clusters, compare, counts, index, normalize, review
 from sievelight.plans import detect as plan
 from sievelight.sources.tables import read_table
 
@@ -237,14 +237,14 @@ def passage_idf_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(DOCS_SQL, select="SELECT ngram, count(DISTINCT doc_id) AS df FROM g GROUP BY ngram ORDER BY df DESC, ngram LIMIT 100"))
 def hot_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = clusters.training_ngrams(clusters.training_tokens(documents(spark, sf_dir), Options()), 5)
-    return index.hot_ngrams(grams.select("ngram", "doc_id").distinct().groupBy("ngram").agg(F.count("*").alias("df")))
+    docs = documents(spark, sf_dir)
+    return counts.hot_ngrams(docs, clusters.training_tokens(docs, Options()), 5)
 
 
 @query(with_sql(DOCS_SQL, "x AS (SELECT ngram, count(DISTINCT doc_id) AS df FROM g GROUP BY ngram)", select="SELECT CASE WHEN df = 1 THEN '1' WHEN df <= 10 THEN '2-10' WHEN df <= 100 THEN '11-100' WHEN df <= 1000 THEN '101-1000' ELSE '>1000' END AS bucket, count(*) AS n_ngrams FROM x GROUP BY 1"))
 def df_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = clusters.training_ngrams(clusters.training_tokens(documents(spark, sf_dir), Options()), 5)
-    return index.df_histogram(grams.select("ngram", "doc_id").distinct().groupBy("ngram").agg(F.count("*").alias("df")))
+    docs = documents(spark, sf_dir)
+    return counts.df_histogram(docs, clusters.training_tokens(docs, Options()), 5)
 
 
 @query(with_sql(evals_sql(), select="SELECT count(*) AS n_ngrams, avg(df) AS mean_df, list_sort(list(df))[count(*) // 2 + 1] AS median_df, max(df) AS max_df FROM ndf"))

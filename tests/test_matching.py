@@ -14,7 +14,7 @@ from sievelight.config import Options
 
 from sievelight.functions import matching, text, tokenizers
 from sievelight.functions.matching import NgramSet
-from sievelight.operators import compare, review
+from sievelight.operators import clusters, compare, counts, review
 from sievelight.operators.index import build_index
 from sievelight.plans import detect as plan
 from sievelight.sources import jsonl, sinks
@@ -237,3 +237,36 @@ def test_documents_are_searched_once(spark):
     assert {r["doc_id"] for r in plan.detect(counted, first).collect()} == {0} and seen.value == 4
     found = plan.search(counted, first, second)
     assert [{r["doc_id"] for r in plan.detect(counted, x, found=found).collect()} for x in (first, second)] == [{0}, {1}] and seen.value == 8
+
+
+def test_document_frequencies_by_key(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(9, 40))) for _ in range(150)] + ["one two three four five six seven eight nine ten"] * 3
+    options = Options()
+
+    def frequencies(docs, limit=20):
+        tokens = clusters.training_tokens(docs, options)
+        return [tuple(r) for r in counts.hot_ngrams(docs, tokens, 5, limit).collect()], {r["bucket"]: r["n_ngrams"] for r in counts.df_histogram(docs, tokens, 5).collect()}
+
+    def wanted(rows, limit=20):
+        df = {}
+        for i, t in rows:
+            words = t.split()
+            for g in {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 10 else ():
+                df.setdefault(g, set()).update([i] if i is not None else [])
+        top = sorted(((g, len(d)) for g, d in df.items()), key=lambda x: (-x[1], x[0]))[:limit]
+        label = lambda k: "1" if k == 1 else "2-10" if k <= 10 else "11-100" if k <= 100 else "101-1000"
+        return top, {b: sum(label(len(d)) == b for d in df.values()) for b in {label(len(d)) for d in df.values()}}
+
+    once = list(enumerate(texts))
+    # ids that several rows have are one document, and rows without an id are none
+    for rows in (once, [(i // 2, t) for i, t in once], [(None if i % 3 == 0 else i, t) for i, t in once], []):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert frequencies(docs) == wanted(rows)
+    docs = spark.createDataFrame(once, "doc_id long, text string")
+    assert frequencies(docs, 1_000) == wanted(once, 1_000)
+    tokens = clusters.training_tokens(docs, options)
+    assert "posexplode" not in counts.df_histogram(docs, tokens, 5)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(counts, "MOST_NAMED", 0)
+    assert frequencies(docs) == wanted(once)
+    assert [len(x) for x in counts.keys_of(pa.array([[], None, ["a"]], pa.list_(pa.string())), 5)] == [0] * 4 and [len(x) for x in counts.keys_of(pa.array([], pa.list_(pa.string())), 5)] == [0] * 4
