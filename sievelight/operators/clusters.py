@@ -18,7 +18,9 @@ from sievelight.operators.index import Index, ordered_sum
 
 def training_tokens(docs: DataFrame, options: Options) -> DataFrame:
     """``docs`` (doc_id, text, ...) with clean text and tokens; those of fewer than two n-grams' tokens go."""
-    clean = docs.where("text IS NOT NULL").withColumn("clean", clean_text(F.col("text"), options.punctuation_chars))
+    # as a generator's row a text is cleaned once; else the filter below, which Spark moves down, cleans it again
+    once = F.inline(F.array(F.struct(clean_text(F.col("text"), options.punctuation_chars).alias("clean"))))
+    clean = docs.where("text IS NOT NULL").select(*[F.col(f"`{c}`") for c in docs.columns if c != "clean"], once)
     return clean.withColumn("tokens", tokenize(F.col("clean"), options.tokenizer)).where(F.size("tokens") >= 2 * options.ngram_size)
 
 
