@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.config import Options
@@ -57,12 +57,35 @@ def hit_documents(tokens: DataFrame, index: Index, *others: Index) -> DataFrame:
 
 
 def probe(tokens: DataFrame, index: Index) -> DataFrame:
-    """Hits: doc_id, eval_id, pos, ngram, idf and is_hot; an index that is not small meets the n-grams in a shuffle."""
+    """Hits: doc_id, eval_id, pos, ngram, idf and is_hot; an index that is not small meets the n-grams in a shuffle, by keys of 128 bits."""
     if not index.small:
-        return training_ngrams(tokens, index.options.ngram_size).join(index.postings.select("ngram", "eval_id", "idf", "is_hot"), "ngram")
+        postings = index.postings.select(*ngram_key(), "ngram", "eval_id", "idf", "is_hot")
+        return training_ngrams(tokens, index.options.ngram_size).select("doc_id", "pos", *ngram_key()).join(postings, ["key1", "key2"]).drop("key1", "key2")
     return hits_of(hit_documents(tokens, index), index)
 
 
+def ngram_key() -> tuple[Column, Column]:
+    """Two 64-bit hashes of the n-gram: a third of the bytes of its text."""
+    return F.xxhash64("ngram").alias("key1"), F.xxhash64(F.lit(1), F.col("ngram")).alias("key2")
+
+
+def needed_postings(index: Index, need: Column) -> DataFrame:
+    """eval_id and ngram of the rarest n-grams of each eval row, as many as every cluster with a share of ``need`` of the row's weight has one of: the others weigh less."""
+    rows = index.postings.join(index.stats.select("eval_id", need.alias("need"), F.col("question_idf_sum").alias("total")), "eval_id")
+    others = F.sum("idf").over(Window.partitionBy("eval_id").orderBy(F.col("idf"), F.desc("ngram")))
+    # sums in another order differ in their last digits
+    return rows.withColumn("others", others).where(F.col("others") >= (F.col("need") - 1e-6) * F.col("total")).select("eval_id", "ngram")
+
+
+def needed_hits(tokens: DataFrame, index: Index, need: Column) -> DataFrame:
+    """The hits, as of ``probe``, of documents and eval rows that share a needed n-gram: for an index that is not small, where n-grams that many rows share would make hits with their square."""
+    grams = training_ngrams(tokens, index.options.ngram_size).select("doc_id", "pos", *ngram_key())
+    needed = needed_postings(index, need).select("eval_id", *ngram_key())
+    pairs = grams.join(needed, ["key1", "key2"]).select("doc_id", "eval_id").distinct()
+    wanted = pairs.join(index.postings.select("eval_id", "ngram", "idf", "is_hot", *ngram_key()), "eval_id")
+    return grams.join(wanted, ["doc_id", "key1", "key2"]).drop("key1", "key2")
+
+
 def hits_of(found: DataFrame, index: Index) -> DataFrame:
     """The hits of documents found, with the eval rows that have the very n-gram."""
     hits = found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.pos", "hit.ngram")

@@ -6,11 +6,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from sievelight.config import Options
 from sievelight.functions.scoring import base_score, final_score, threshold_by_length
 from sievelight.functions.text import highlight_pieces, marked, snippet
 from sievelight.functions.tokenizers import decode_each
 from sievelight.operators import spans
-from sievelight.operators.clusters import gap_clusters, hit_documents, hits_of, probe, training_tokens, walked_clusters
+from sievelight.operators.clusters import gap_clusters, hit_documents, hits_of, needed_hits, training_tokens, walked_clusters
 from sievelight.operators.index import Index
 
 
@@ -47,9 +48,12 @@ def question_overlaps(clusters: DataFrame, index: Index) -> DataFrame:
 
 def gates(overlaps: DataFrame, index: Index) -> DataFrame:
     """The least weighted share first, then the one that the question's length asks for."""
-    o = index.options
-    need = threshold_by_length(F.col("question_tokens"), o.perfect_match_decay_start, o.perfect_match_decay_end, o.minimum_question_idf)
-    return overlaps.where(F.col("idf_overlap") >= o.minimum_question_idf).where(F.col("idf_overlap") >= need - 1e-9)
+    return overlaps.where(F.col("idf_overlap") >= index.options.minimum_question_idf).where(F.col("idf_overlap") >= needed_share(index.options))
+
+
+def needed_share(o: Options) -> Column:
+    """The weighted share that a question's length asks for, a little less for rounding."""
+    return threshold_by_length(F.col("question_tokens"), o.perfect_match_decay_start, o.perfect_match_decay_end, o.minimum_question_idf) - 1e-9
 
 
 def with_answers(found: DataFrame, index: Index) -> DataFrame:
@@ -103,7 +107,7 @@ def candidates(docs: DataFrame, index: Index, walked: bool = False, found: DataF
     """Tokens of the documents (of a small index, of those with hits), and clusters that pass both gates."""
     tokens = training_tokens(docs, index.options)
     if not index.small:
-        return tokens, gates(question_overlaps(gap_clusters(probe(tokens, index), index.options), index), index)
+        return tokens, gates(question_overlaps(gap_clusters(needed_hits(tokens, index, needed_share(index.options)), index.options), index), index)
     found = search(docs, index) if found is None else found
     clusters = walked_clusters(tokens, index) if walked else gap_clusters(hits_of(found, index), index.options)
     return found, gates(question_overlaps(clusters, index), index)

@@ -270,3 +270,28 @@ def test_document_frequencies_by_key(spark, monkeypatch):
     monkeypatch.setattr(counts, "MOST_NAMED", 0)
     assert frequencies(docs) == wanted(once)
     assert [len(x) for x in counts.keys_of(pa.array([[], None, ["a"]], pa.list_(pa.string())), 5)] == [0] * 4 and [len(x) for x in counts.keys_of(pa.array([], pa.list_(pa.string())), 5)] == [0] * 4
+
+
+def test_shared_passages_make_no_square_of_hits(spark, monkeypatch):
+    from sievelight.operators import index as module
+
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(25)]
+    own = [[f"o{k}x{rng.randrange(10**6)}" for _ in range(30)] for k in range(40)]
+    # items of every share of their own words, some with few; some texts are whole, some cut
+    items = [" ".join([*w[: 3 + k % 28], *shared]) for k, w in enumerate(own)]
+    rows = [("a", k, None, t, None, None) for k, t in enumerate(items)]
+    docs = docs_of(spark, *[f"x {t} y" for t in items], *[f"x {' '.join(t.split()[4:])} y z u v w" for t in items])
+    kept = ("doc_id", "eval_id", "start", "end", "ngram_match_cnt")
+    found = lambda index: sorted((*(r[c] for c in kept), round(r["contamination_score"], 9)) for r in plan.detect(docs, index).collect())
+    hits = lambda df: sorted((r["doc_id"], r["eval_id"], r["pos"], r["ngram"], round(r["idf"], 9)) for r in df.collect())
+    small = index_of(spark, rows)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    large = index_of(spark, rows)
+    tokens = clusters.training_tokens(docs, LAX)
+    every = hits(clusters.probe(tokens, large))
+    assert found(small) == found(large) and len(found(large)) >= 40 and every == hits(clusters.probe(tokens, small))
+    needed = hits(clusters.needed_hits(tokens, large, plan.needed_share(LAX)))
+    assert set(needed) <= set(every) and len(needed) < len(every) / 4
+    none = Options(eval_min_token_length=0, eval_min_unique_word_count=0, contamination_score_threshold=0.0, perfect_match_decay_start=None, perfect_match_decay_end=None)
+    assert hits(clusters.needed_hits(tokens, large, plan.needed_share(none))) == every
