@@ -295,3 +295,13 @@ def test_shared_passages_make_no_square_of_hits(spark, monkeypatch):
     assert set(needed) <= set(every) and len(needed) < len(every) / 4
     none = Options(eval_min_token_length=0, eval_min_unique_word_count=0, contamination_score_threshold=0.0, perfect_match_decay_start=None, perfect_match_decay_end=None)
     assert hits(clusters.needed_hits(tokens, large, plan.needed_share(none))) == every
+
+
+def test_an_index_shuffles_its_postings_once(spark):
+    raw = spark.createDataFrame([(i, f"{' '.join(WORDS[i : i + 30])} x") for i in range(0, 60, 3)], "eval_id long, question string")
+    postings = build_index(raw, LAX).postings
+    assert "Join" not in postings._jdf.queryExecution().analyzed().toString()
+    df = {}
+    for r in postings.collect():
+        df.setdefault(r["ngram"], []).append(r["df"])
+    assert all(set(v) == {len(v)} for v in df.values()) and max(map(len, df.values())) > 1
